@@ -5,14 +5,43 @@ from __future__ import annotations
 import os
 
 import numpy as np
-import regex
 
-#: Entries of a worker's memo of parts, and the characters that a remembered part may have.
-MEMO, MEMO_CHARS = 500_000, 32
+#: Entries of a generation of a worker's memo of parts, and the bytes that a remembered part may have.
+MEMO, MEMO_CHARS = 400_000, 32
 #: Parts that the library gets in one string.
-PARTS = 2_000
+PARTS = 100
 
-_ADJACENT = regex.compile(r"[\s\x1c-\x1f]{2}|^[\s\x1c-\x1f]|[\s\x1c-\x1f]$")
+#: White space besides the blank and the line end: bytes, and how UTF-8 writes the others (a few other characters begin like them).
+_OTHER_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_TOUCHING = (b"  ", b" \n", b"\n ", b"\n\n")
+
+
+def isolated(text: bytes) -> bool:
+    """Whether all white space is single blanks and line ends between other characters."""
+    return text[:1] not in b" \n" and text[-1:] not in b" \n" and not any(x in text for x in _TOUCHING) and len(text.translate(None, _OTHER_SPACE)) == len(text) and (text.isascii() or not any(x in text for x in _WIDE_SPACE))
+
+
+class Memo(dict):
+    """Ids by part, of bounded size in two generations. A part that is asked for and unknown stands for its number among those to encode."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old, self.todo = most, {}, []
+
+    def __missing__(self, part: bytes):
+        found = self.old.get(part)
+        if found is None:
+            found = len(self.todo)
+            self.todo.append(part)
+        self[part] = found
+        return found
+
+    def turn(self) -> None:
+        """Makes the young generation the old one when it is full."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 class PieceEncoder:
@@ -21,8 +50,8 @@ class PieceEncoder:
     The byte-level pattern never joins characters across a blank or a line end that stands between two characters that are
     no white space: a blank begins the next piece, a line end is a piece of its own. So a text is cut before each of them,
     and the library encodes only the parts that aren't in the memo, many in one string: as no part has a blank or a line end
-    but at its start, the tokens that begin with one tell where parts begin. Texts in which white space touches white space,
-    begins or ends the text go to the library whole.
+    but at its start, the tokens that begin with one tell where parts begin. Texts with any other white space, or with white
+    space that touches white space or an end of the text, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -32,7 +61,7 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
         vocab = self.library.get_vocab()
         #: by id: whether the token begins with a blank or a line end, in the form that byte-level vocabularies give them
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
@@ -45,9 +74,8 @@ class PieceEncoder:
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Of parts that each begin with a blank or a line end and have no other."""
         out: list[bytes] = []
-        for lo in range(0, len(parts), PARTS):
-            some = parts[lo : lo + PARTS]
-            ids = self._encode(["".join(some)])[0]
+        groups = [parts[lo : lo + PARTS] for lo in range(0, len(parts), PARTS)]
+        for some, ids in zip(groups, self._encode(["".join(g) for g in groups])):
             cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
             if len(cuts) != len(some) + 1:
                 out += [x.tobytes() for x in self._encode(some)]
@@ -56,28 +84,26 @@ class PieceEncoder:
             out += [data[s:e] for s, e in zip(cuts, cuts[1:])]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = [k for k, t in enumerate(texts) if _ADJACENT.search(t)]
-        out: list[bytes | None] = [None] * len(texts)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        out: list[bytes] = [b""] * len(texts)
+        split = {k: (b"\n" + t.replace(b"\n", b" \n")).split(b" ") for k, t in enumerate(texts) if t and isolated(t)}
+        whole = [k for k, t in enumerate(texts) if t and k not in split]
+        for k, ids in zip(whole, self._encode([texts[k].decode("utf-8", "replace") for k in whole])):
             out[k] = ids.tobytes()
         # Keys have no blank at their start; what begins with a line end keeps it. The line end before a text is dropped again.
-        split = {k: ("\n" + t.replace("\n", " \n")).split(" ") for k, t in enumerate(texts) if out[k] is None and t}
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new: set[str] = set()
-        for parts in split.values():
-            new.update(parts)
-        todo = list(new.difference(self.memo))
-        self.memo.update(zip(todo, self._encode_parts([p if p[0] == "\n" else " " + p for p in todo])))
-        get = self.memo.__getitem__
-        for k, parts in split.items():
-            out[k] = b"".join(map(get, parts))[4:]
+        memo = self.memo
+        memo.turn()
+        found = {k: list(map(memo.__getitem__, parts)) for k, parts in split.items()}
+        todo, memo.todo = memo.todo, []
+        new = self._encode_parts([(p if p[:1] == b"\n" else b" " + p).decode("utf-8", "replace") for p in todo])
+        memo.update(zip(todo, new))
+        for k, ids in found.items():
+            out[k] = b"".join([x if x.__class__ is bytes else new[x] for x in ids])[4:]
         for p in todo:
             if len(p) > MEMO_CHARS:
-                del self.memo[p]
-        return [x or b"" for x in out]
+                del memo[p]
+        return out
 
 
 _LOADED: dict[str, PieceEncoder] = {}

@@ -52,7 +52,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, wid
         with system.open_output_stream(f"{top}/{name}") as out:
             for batch in batches:
                 for ids, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    data = np.frombuffer(b"".join(x + end for x in encoder.encode([t.decode("utf-8", "replace") for t in texts])), "<u4")
+                    data = np.frombuffer(b"".join(x + end for x in encoder.encode(texts)), "<u4")
                     if width == 2 and len(data) and data.max() > 0xFFFF:
                         raise ValueError("an id needs more than two bytes")
                     out.write(data.astype(f"<u{width}").tobytes())

@@ -35,7 +35,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for ids, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = [x + end for x in encoder.encode([t.decode("utf-8", "replace") for t in texts])]
+                data = [x + end for x in encoder.encode(texts)]
                 n = np.fromiter(map(len, data), np.int64, len(data)) // 4
                 ends = np.cumsum(n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
@@ -44,7 +44,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
     (
         text_rows(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FORMAT)
-        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(rows_per_index)).option("orc.create.index", "true").option("compression", "zstd").orc(path)
+        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(rows_per_index)).option("orc.create.index", "true").option("compression", "lz4").orc(path)
     )
 
 
