@@ -19,16 +19,16 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, text_rows
 
-#: Entries of the memo of pieces that a worker keeps; when full it starts anew.
+#: Entries of a generation of a memo; two generations are kept.
 MEMO = 300_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 40
@@ -126,6 +126,24 @@ class MergeList:
         yield from self.merge(held)
 
 
+class Memo:
+    """A map of bounded size: when the young generation is full it becomes the old one, and what is used again is young again."""
+
+    def __init__(self, most: int = MEMO):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordBpe:
     """Encoder and decoder of a vocabulary file with word ends."""
 
@@ -141,65 +159,67 @@ class WordBpe:
         size = lambda t: len(t) - len(self.end) * (t.endswith(self.end) and len(t) > len(self.end))
         self.merges = MergeList([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], size)
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self._memo: dict[str, tuple[bytes, str]] = {}
-        self._words: dict[str, list[str]] = {}
+        self._memo, self._words = Memo(), Memo()
 
     def _symbols(self, piece: str) -> list[str]:
         out = list(map(self.symbol.__getitem__, piece.encode()))
         out[-1] += self.end
         return out
 
-    def _piece(self, piece: str) -> list[str]:
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        """Little-endian ids of a piece, and its token strings joined by blanks."""
         if len(piece) > MEMO_CHARS:
-            return list(self.merges.stream(self._symbols(piece)))
+            return self._known(self.merges.stream(self._symbols(piece)))
         found = self._words.get(piece)
         if found is None:
-            if len(self._words) >= MEMO:
-                self._words.clear()
             # shorter than the window: the stream would hold all of it, so its flush is the whole work
-            found = self._words[piece] = self.merges.merge(list(self._symbols(piece)))
+            found = self._known(self.merges.merge(self._symbols(piece)))
+            self._words.put(piece, found)
         return found
 
-    def _tokens(self, chunk: str) -> Iterator[str]:
-        """Tokens of text without special tokens, white space included."""
-        if not chunk.isascii():
-            chunk = _lower(unicodedata.normalize("NFC", chunk))
-        else:
+    def _known(self, tokens: Iterable[str]) -> tuple[bytes, str]:
+        """Symbols that the vocabulary lacks are left out."""
+        ids = [(i, t) for t in tokens if (i := self.vocab.get(t)) is not None]
+        return array("I", [i for i, _ in ids]).tobytes(), " ".join([t for _, t in ids])
+
+    def _pieces(self, chunk: str) -> list[tuple[bytes, str]]:
+        """Pieces of text without special tokens."""
+        if chunk.isascii():
             chunk = chunk.lower()
-        for piece in _PIECES.findall(chunk):
-            yield from self._piece(piece)
+        else:
+            chunk = _lower(unicodedata.normalize("NFC", chunk))
+        return [self._piece(chunk)] if chunk.isalpha() else [self._piece(p) for p in _PIECES.findall(chunk)]
 
     def _encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Little-endian ids, and the token strings joined by blanks."""
-        tokens: list[str] = []
+        found: list[tuple[bytes, str]] = []
         at = 0
-        for m in self._special.finditer(chunk) if self._special else ():
-            tokens += self._tokens(chunk[at : m.start()])
-            tokens.append(m.group())
+        for m in self._special.finditer(chunk) if self._special and "<" in chunk else ():
+            found += self._pieces(chunk[at : m.start()])
+            found.append((array("I", [self.special[m.group()]]).tobytes(), m.group()))
             at = m.end()
-        tokens += self._tokens(chunk[at:])
-        known = [(t, i) for t in tokens if (i := self.special.get(t, self.vocab.get(t))) is not None]
-        return np.array([i for _, i in known], "<u4").tobytes(), " ".join(t for t, _ in known)
+        found += self._pieces(chunk[at:] if at else chunk)
+        if len(found) == 1:
+            return found[0]
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
     def chunks(self, text: str) -> list[str]:
         """Parts between white space: no token has any."""
         return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
 
-    def encode(self, text: str) -> tuple[bytes, list[str]]:
-        """Little-endian 32-bit ids, and the decoded parts, one for each part between white space that has tokens."""
-        memo, out, parts = self._memo, [], []
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Little-endian 32-bit ids and the decoded text. Parts between white space are looked up or run through the transducer."""
+        memo, found = self._memo, []
         for c in self.chunks(text):
-            found = memo.get(c)
-            if found is None:
-                found = self._encode_chunk(c)
-                if len(c) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[c] = found
-            if found[0]:
-                out.append(found[0])
-                parts.append(found[1])
-        return b"".join(out), parts
+            x = memo.young.get(c)
+            if x is None:
+                x = memo.get(c)
+                if x is None:
+                    x = self._encode_chunk(c)
+                    if len(c) <= MEMO_CHARS:
+                        memo.put(c, x)
+            if x[0]:
+                found.append(x)
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by blanks, special tokens included; unknown ids are left out."""
@@ -243,7 +263,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(ids, texts, bpe):
         pairs = [bpe.encode(t.decode("utf-8", "replace")) for t in texts]
-        return {"doc_id": ids, "n_tokens": [len(b) // 4 for b, _ in pairs], "ids": [b for b, _ in pairs], "decoded": [" ".join(p) for _, p in pairs]}
+        return {"doc_id": ids, "n_tokens": [len(b) // 4 for b, _ in pairs], "ids": [b for b, _ in pairs], "decoded": [p for _, p in pairs]}
 
     return map_texts(text_rows(df, id_col, text_col), run, SCHEMA, lambda: loaded(path))
 
@@ -254,10 +274,10 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def run(ids, texts, bpe):
         n, a, b = [], [], []
         for t in texts:
-            data, _ = bpe.encode(t.decode("utf-8", "replace"))
+            data, decoded = bpe.encode(t.decode("utf-8", "replace"))
             n.append(len(data) // 4)
             a.append(hashlib.sha256(data).hexdigest())
-            b.append(hashlib.sha256(bpe.decode(np.frombuffer(data, "<u4").tolist()).encode()).hexdigest())
+            b.append(hashlib.sha256(decoded.encode()).hexdigest())
         return {"doc_id": ids, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return map_texts(text_rows(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: loaded(path))
