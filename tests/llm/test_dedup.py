@@ -130,5 +130,5 @@ def test_one_row_of_each_group_stays(sample):
 
 
 def test_forest_of_blocks():
-    a, b = sd._forest(np.array([0, 255], np.int64), np.array([1, 3, 1 << 40], np.int64), 3)
+    a, b = sd._forest(np.array([0, 255], np.int64), np.array([1, 3, 0xF0F0F0], np.int64), 3)
     assert set(zip(a.tolist(), b.tolist())) == {(1, 0), (3, 0)}

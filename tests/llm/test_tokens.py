@@ -91,7 +91,7 @@ def test_held_symbols_are_bounded():
     out = ml.stream(endless())
     for k in range(3000):
         next(out)
-        assert taken - 1.3 * k < 20 * ml.lookahead
+        assert taken - 2 * k < 20 * ml.lookahead
 
 
 def test_incremental_text():
