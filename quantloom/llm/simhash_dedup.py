@@ -102,7 +102,7 @@ def _forest(homes_in: np.ndarray, others: np.ndarray, bits: int) -> tuple[np.nda
     label = np.arange(len(nodes))
     left, right = [], []
     for lo in range(0, len(a), 128):
-        x, y = np.nonzero(np.bitwise_count(homes_in[lo : lo + 128, None] ^ others[None, :]) <= bits)
+        x, y = np.nonzero(np.bitwise_count((homes_in[lo : lo + 128, None] ^ others[None, :]).view(np.uint64)) <= bits)
         left.append(a[lo + x])
         right.append(b[y])
     left, right = np.concatenate(left or [a[:0]]), np.concatenate(right or [a[:0]])
@@ -126,6 +126,8 @@ def links(fps: DataFrame, bits: int = BITS, many: int = MANY, block: int = BLOCK
     """
     if bits != 3:
         raise ValueError("the anchors are chosen for three bits")
+    # A fingerprint is a few bytes but becomes 17 rows a side: few file splits would mean few tasks.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     near, around = homes(fps), covers(fps)
     counted = near.groupBy("anchor").agg(F.count("*").alias("n_homes")).filter(F.col("n_homes") > many)
     heavy = written(around.join(counted, "anchor").groupBy("anchor").agg(F.count("*").alias("n_around"), F.first("n_homes").alias("n_homes")), "heavy-anchors")
