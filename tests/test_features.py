@@ -160,7 +160,7 @@ def test_triple_barrier(closes, hold):
 
 
 def test_labels(closes, column):
-    df = targets.volatility_adjusted_labels(targets.classify_returns(targets.forward_returns(closes([100.0, 101.0, 99.0, 99.5]), 1), 1), 1, 2)
+    df = targets.volatility_adjusted_labels(targets.classify_returns(targets.forward_returns(closes([100.0, 100.5, 99.0, 99.5]), 1), 1), 1, 2)
     assert column(df, "label_1d") == [0, -1, 0, 0]
     assert column(df, "fwd_return_1d")[-1] is None
     assert column(df, "vol_label_1d")[0] == 0

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 
@@ -48,7 +49,7 @@ def test_summary(bars):
     one = bars.filter("symbol = 'AAA'")
     text = agents.summarize(features.add_all(one), include_profile=True)
     p = one.toPandas().sort_values("timestamp").close.to_numpy()
-    for part in (f"AAA | 2024-01-01 to 2024-04-29 (120 trading days)", f"Current price: ${p[-1]:.2f}", f"Last day: {(p[-1] / p[-2] - 1) * 100:+.2f}%", f"Last 5 days: {(p[-1] / p[-5] - 1) * 100:+.2f}%", "RSI(14)", "50-day SMA", "MACD", "x avg", "DATA PROFILE"):
+    for part in ("AAA | 2024-01-01 to 2024-04-29 (120 trading days)", f"Current price: ${p[-1]:.2f}", f"Last day: {(p[-1] / p[-2] - 1) * 100:+.2f}%", f"Last 5 days: {(p[-1] / p[-5] - 1) * 100:+.2f}%", "RSI(14)", "50-day SMA", "MACD", "x avg", "DATA PROFILE"):
         assert part in text
     assert agents.summarize(one, max_tokens=5).endswith("...") and len(agents.summarize(one, max_tokens=5)) == 23
 
@@ -98,10 +99,13 @@ def test_tools(spark, bars):
 
 def test_streamed_bars(spark, tmp_path):
     t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
-    parts = [[("a", t(0, 5), 1.0), ("a", t(0, 50), 3.0), ("b", t(0, 10), 7.0)], [("a", t(1, 1), 2.0), ("a", t(5, 0), 9.0)], [("a", t(0, 20), 100.0), ("b", t(9, 0), 1.0)], [("a", t(12, 0), 1.0)]]
+    parts = [[("a", t(0, 5), 1.0), ("a", t(0, 50), 3.0), ("b", t(0, 10), 7.0)], [("a", t(1, 1), 2.0), ("a", t(5, 0), 9.0)], [("a", t(5, 30), 9.0)], [("a", t(0, 20), 100.0), ("b", t(9, 0), 1.0)], [("a", t(12, 0), 1.0)]]
     schema = "event_type string, ts timestamp, value double"
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{i}")
+    for i in range(len(parts)):  # files are taken in the order of their times
+        for f in (tmp_path / "in" / str(i)).glob("part-*"):
+            os.utime(f, (1_700_000_000 + 100 * i,) * 2)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"file://{tmp_path}/in/*")
     q = feature_batches(event_bars(stream), f"file://{tmp_path}/bars", f"file://{tmp_path}/cp", lambda d: features.add_all(d)).trigger(availableNow=True).start()
     q.awaitTermination()
