@@ -24,12 +24,11 @@ from collections.abc import Iterable, Iterator
 
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_texts, text_rows
+from .common import kept, map_texts, text_rows
 
 #: Entries of a generation of a memo; two generations are kept.
-MEMO = 300_000
+MEMO = 150_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 40
 
@@ -248,14 +247,9 @@ def _lower(text: str) -> str:
 
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
-_LOADED: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
     """One encoder per Python worker, so its memo outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return kept(("words", path), lambda: WordBpe(path))
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

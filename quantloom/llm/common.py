@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds at once, besides the Arrow batch that Spark sends.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that a Python worker works on at once, besides the Arrow batch that Spark sends.
+BATCH_BYTES = 2 << 20
+#: Rows of an Arrow batch. Texts are long, so the ten thousand of Spark's default would be tens of megabytes in each of several buffers.
+BATCH_ROWS = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     found = f"file://{tempfile.mkdtemp(prefix='quantloom-')}"
@@ -46,8 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch to ``BATCH_ROWS`` where they are more; Spark reads the setting when a query runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and the UTF-8 bytes of the text; a null text becomes empty."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
@@ -63,6 +77,31 @@ def slices(ids: list, texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[t
         yield ids[start:], texts[start:]
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable):
+    """An object that a Python worker keeps from task to task. Objects of another operator go first: workers outlive stages, and their memory is shared out for one at a time."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drops what other operators have kept in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system, as workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(rows: DataFrame, fn: Callable[[list, list[bytes]], Iterable | dict], schema: str, setup: Callable | None = None) -> DataFrame:
     """Runs ``fn(ids, texts, *state)`` over slices of ``text_rows``; it returns columns by name in the order of ``schema``.
 
@@ -72,11 +111,14 @@ def map_texts(rows: DataFrame, fn: Callable[[list, list[bytes]], Iterable | dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
+        if not setup:
+            release()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some, of in slices(ids, texts):
                 out = fn(some, of, *state)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=_TYPES.get(k)) for x, k in zip((out[n] for n in names), _kinds(schema), strict=True)], names=names)
+        trim()
 
     return rows.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows
+from .common import kept, slices, small_batches, text_rows
 
 RATE = 0.2
 BLOCK_BYTES = 8 << 20
@@ -173,18 +173,16 @@ def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "
         yield block
 
 
-_FINDERS: dict[int, LeakFinder] = {}
+def _finder(shared, rate: float) -> LeakFinder:
+    """The index of a broadcast block, built once per worker; it holds the block, so the key names no other object."""
+    block = shared.value
 
+    def make() -> LeakFinder:
+        finder = LeakFinder(block, rate)
+        finder.block = block
+        return finder
 
-def _finder(shared, rate: float) -> LeakFinder:
-    """One index for each broadcast block and worker; the last few are kept."""
-    key = id(shared.value)
-    if key not in _FINDERS:
-        while len(_FINDERS) >= 2:
-            _FINDERS.pop(next(iter(_FINDERS)))
-        _FINDERS[key] = LeakFinder(shared.value, rate)
-        _FINDERS[key].source = shared.value  # keeps the key from naming another object
-    return _FINDERS[key]
+    return kept(("leaks", id(block), rate), make)
 
 
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, first_word long, last_word long"
@@ -220,6 +218,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_c
 
         return F.pandas_udf(flags, "boolean")(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
 
+    small_batches(docs.sparkSession)
     for block in blocks_of(benchmark, block_bytes=block_bytes):
         docs = docs.filter(clean(docs.sparkSession.sparkContext.broadcast(block)))
     return docs

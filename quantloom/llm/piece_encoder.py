@@ -6,6 +6,8 @@ import os
 
 import numpy as np
 
+from .common import kept
+
 #: Entries of a generation of a worker's memo of parts, and the bytes that a remembered part may have.
 MEMO, MEMO_CHARS = 400_000, 32
 #: Parts that the library gets in one string.
@@ -106,11 +108,6 @@ class PieceEncoder:
         return out
 
 
-_LOADED: dict[str, PieceEncoder] = {}
-
-
 def loaded(path: str) -> PieceEncoder:
     """One encoder per Python worker, so its memo outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
-    return _LOADED[path]
+    return kept(("pieces", path), lambda: PieceEncoder(path))

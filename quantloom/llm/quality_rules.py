@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, text_rows, written
+from .common import map_texts, release, slices, text_rows, written
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_echo long, n_bars long, n_marks long"
 
@@ -181,6 +181,7 @@ def keep(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataF
 
     @F.pandas_udf(", ".join(f"{x} long" for x in names))
     def stats(texts: pd.Series) -> pd.DataFrame:
+        release()
         parts = [text_stats(i, t) for i, t in slices(list(range(len(texts))), texts.tolist())]
         return pd.DataFrame({n: np.concatenate([np.asarray(p[n], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for n in names})
 
