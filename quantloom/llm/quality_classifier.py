@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, text_rows, written
+from .common import map_texts, release, slices, text_rows, written
 
 #: Positives that the model is fitted on at most; unlabelled texts: twice as many.
 SAMPLE = 4_000
@@ -157,7 +157,11 @@ def fit(vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     trusted = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
 
     def drawn(rows: DataFrame, n: int, salt: int) -> np.ndarray:
-        found = rows.orderBy(F.xxhash64("doc_id", F.lit(salt)), *FEATURES).limit(n).select(*FEATURES).toPandas()
+        # A hash keeps somewhat more than n rows in all, so that few come from each task; the order by the same hash settles which.
+        place = F.xxhash64("doc_id", F.lit(salt))
+        share = min(1.0, 1.5 * n / max(rows.count(), 1))
+        chosen = rows.filter(F.shiftrightunsigned(place, 2) < int(share * 2**62)) if share < 1 else rows
+        found = chosen.orderBy(place, *FEATURES).limit(n).select(*FEATURES).toPandas()
         return found.to_numpy(float).reshape(len(found), len(FEATURES))
 
     return PuModel().fit(drawn(usable.join(trusted, "doc_id", "left_semi"), sample, 1), drawn(usable, 2 * sample, 2), prior)
@@ -181,6 +185,7 @@ def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def vector(texts: pd.Series) -> pd.DataFrame:
+        release()
         parts = [features(t) for _, t in slices(list(range(len(texts))), texts.tolist())]
         return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(FEATURES))), columns=FEATURES)
 
