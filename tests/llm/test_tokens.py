@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quantloom.llm import bpe_stream, token_counts, token_output
