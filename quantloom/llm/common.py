@@ -52,6 +52,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of ``text_rows`` from several Arrow batches at once, as many as have ``most`` bytes of text at most (a longer text stands alone)."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for some, of in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), most):
+            size = sum(map(len, of))
+            if ids and held + size > most:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids, texts, held = ids + some, texts + of, held + size
+    if ids:
+        yield ids, texts
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sets the session's rows per Arrow batch to ``BATCH_ROWS`` where they are more; Spark reads the setting when a query runs."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -73,14 +74,15 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Of parts that each begin with a blank or a line end and have no other."""
+    def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Of parts in the form of keys: all but those that begin with a line end stand for a blank and themselves; no other blank or line end is in them."""
         out: list[bytes] = []
         groups = [parts[lo : lo + PARTS] for lo in range(0, len(parts), PARTS)]
-        for some, ids in zip(groups, self._encode(["".join(g) for g in groups])):
+        joined = [(b" " + b" ".join(g)).replace(b" \n", b"\n").decode("utf-8", "replace") for g in groups]
+        for some, ids in zip(groups, self._encode(joined)):
             cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
             if len(cuts) != len(some) + 1:
-                out += [x.tobytes() for x in self._encode(some)]
+                out += [x.tobytes() for x in self._encode([(p if p[:1] == b"\n" else b" " + p).decode("utf-8", "replace") for p in some])]
                 continue
             data, cuts = ids.tobytes(), cuts.tolist()
             out += [data[s:e] for s, e in zip(cuts, cuts[1:])]
@@ -88,6 +90,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        on = gc.isenabled()
+        gc.disable()  # many short lists and no cycles
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         split = {k: (b"\n" + t.replace(b"\n", b" \n")).split(b" ") for k, t in enumerate(texts) if t and isolated(t)}
         whole = [k for k, t in enumerate(texts) if t and k not in split]
@@ -98,7 +109,7 @@ class PieceEncoder:
         memo.turn()
         found = {k: list(map(memo.__getitem__, parts)) for k, parts in split.items()}
         todo, memo.todo = memo.todo, []
-        new = self._encode_parts([(p if p[:1] == b"\n" else b" " + p).decode("utf-8", "replace") for p in todo])
+        new = self._encode_parts(todo)
         memo.update(zip(todo, new))
         for k, ids in found.items():
             out[k] = b"".join([x if x.__class__ is bytes else new[x] for x in ids])[4:]

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows
+from .common import gathered, text_rows
 from .piece_encoder import loaded
 
 #: Bytes of a block, a multiple of every width.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 4 << 20
 
 
 def _open(uri: str):
@@ -50,14 +52,13 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, wid
         system.create_dir(top, recursive=True)
         end = np.array([end_id], "<u4").tobytes()
         with system.open_output_stream(f"{top}/{name}") as out:
-            for batch in batches:
-                for ids, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    data = np.frombuffer(b"".join(x + end for x in encoder.encode(texts)), "<u4")
-                    if width == 2 and len(data) and data.max() > 0xFFFF:
-                        raise ValueError("an id needs more than two bytes")
-                    out.write(data.astype(f"<u{width}").tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(at, at + len(ids)), pa.int64()), pa.array(ids, pa.int64())], names=["file", "position", "doc_id"])
-                    at += len(ids)
+            for ids, texts in gathered(batches, SLICE_BYTES):
+                data = np.frombuffer(b"".join(x + end for x in encoder.encode(texts)), "<u4")
+                if width == 2 and len(data) and data.max() > 0xFFFF:
+                    raise ValueError("an id needs more than two bytes")
+                out.write(data.astype(f"<u{width}").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(at, at + len(ids)), pa.int64()), pa.array(ids, pa.int64())], names=["file", "position", "doc_id"])
+                at += len(ids)
 
     return text_rows(df, id_col, text_col).mapInArrow(run, "file string, position long, doc_id long")
 

@@ -15,16 +15,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows
+from .common import gathered, text_rows
 from .piece_encoder import loaded
 
 #: Columns of the file format. ``part`` is the range that the file belongs to, ``at`` the ids of earlier documents in it.
 FORMAT = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
+#: Bytes of text that are encoded at once: the more, the seldomer a part is looked up anew.
+SLICE_BYTES = 8 << 20
+
+
+def range_bounds(ids: DataFrame) -> list[int]:
+    """First ids of all ranges but the first, for as many ranges as there are shuffle partitions: quantiles of the id column alone, so no text is read to find them."""
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
+    return sorted({int(x) for x in found})
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """Number of bounds up to ``key`` (0 for null): by groups of bounds first, then within one group."""
+    step = max(1, int(len(bounds) ** 0.5))
+    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
+    if not bounds:
+        return F.lit(0)
+    group = upto(array(bounds[step::step]))
+    return F.coalesce(group * step + upto(F.slice(array(bounds), group * step + 1, F.lit(step))), F.lit(0)).cast("int")
+
+
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_per_index: int = 1000) -> None:
     """Encodes every text, appends ``end_id`` and writes the format to ``path``. Only texts are shuffled, once, by range of id."""
 
@@ -33,17 +55,17 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
         encoder, part, at = loaded(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for ids, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = [x + end for x in encoder.encode(texts)]
-                n = np.fromiter(map(len, data), np.int64, len(data)) // 4
-                ends = np.cumsum(n)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - n), pa.array(n), tokens], names=["doc_id", "part", "at", "n_tokens", "ids"])
-                at += int(ends[-1])
-
+        for ids, texts in gathered(batches, SLICE_BYTES):
+            data = [x + end for x in encoder.encode(texts)]
+            n = np.fromiter(map(len, data), np.int64, len(data)) // 4
+            ends = np.cumsum(n)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - n), pa.array(n), tokens], names=["doc_id", "part", "at", "n_tokens", "ids"])
+            at += int(ends[-1])
+
+    rows, bounds = text_rows(df, id_col, text_col), range_bounds(df.select(F.col(id_col).cast("long").alias("doc_id")))
     (
-        text_rows(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FORMAT)
+        rows.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text").mapInArrow(run, FORMAT)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(rows_per_index)).option("orc.create.index", "true").option("compression", "lz4").orc(path)
     )
 
