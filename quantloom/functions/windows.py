@@ -84,6 +84,16 @@ def add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns(columns)
 
 
+def with_series_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
+    """Adds aggregates of each row's whole series. They come from partial aggregates and a join, so a long series isn't gathered in one task as a window would."""
+    on = keys(df)
+    found = df.groupBy(*[F.col(k).alias(f"__key_{k}") for k in on]).agg(*[c.alias(n) for n, c in stats.items()])
+    if not on:
+        return df.crossJoin(F.broadcast(found))  # one row
+    match = F.col(on[0]).eqNullSafe(F.col(f"__key_{on[0]}"))
+    return df.join(found, match, "left").drop(*[f"__key_{k}" for k in on])
+
+
 #: Exponent up to which a block of an exponential mean is summed: powers stay finite, what is cut off is below e ** -40.
 _REACH = 40.0
 

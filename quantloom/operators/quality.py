@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import SYMBOL, TIMESTAMP, add, change, keys, require, whole
+from ..functions.windows import SYMBOL, TIMESTAMP, add, change, keys, require, whole, with_series_stats
 
 PRICES = ("open", "high", "low", "close")
 
@@ -51,14 +51,12 @@ def flag_outliers(df: DataFrame, method: str = "zscore", threshold: float = 4.0,
         return df
     on = keys(df)
     if method == "zscore":
-        w = whole(df)
-        far = lambda c: F.abs(F.col(c) - F.avg(c).over(w)) > threshold * F.stddev_samp(c).over(w)
-        return add(df, {f"{c}_outlier": F.coalesce(far(c), F.lit(False)) for c in names})
-    # Quartiles by rank, one aggregate per column over the exchange by symbol: no value list is gathered.
+        stats = {f"__{f}_{c}": g(c) for c in names for f, g in (("mean", F.avg), ("dev", F.stddev_samp))}
+        far = {f"{c}_outlier": F.coalesce(F.abs(F.col(c) - F.col(f"__mean_{c}")) > threshold * F.col(f"__dev_{c}"), F.lit(False)) for c in names}
+        return add(with_series_stats(df, stats), far).drop(*stats)
+    # Quartiles by rank over the exchange by symbol: sorted runs that spill, no list of values.
     out = df
     for c in names:
-        from pyspark.sql import Window
-
         order = Window.partitionBy(*(on or [F.lit(0)])).orderBy(F.col(c).asc_nulls_last())
         n = F.count(c).over(whole(out))
         at = lambda q: F.max(F.when(F.col("__rank") == F.round((F.col("__n") - 1) * q).cast("long") + 1, F.col(c))).over(whole(out))
