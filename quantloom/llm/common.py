@@ -73,6 +73,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def compact(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for rows of a few bytes each: dealt out evenly to as many files as the cluster has cores, not one for each split of the texts they come from. Every file costs the store a few calls, and on local stores a process."""
+    return written(df.repartition(df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and the UTF-8 bytes of the text; a null text becomes empty."""
     small_batches(df.sparkSession)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_rows, written
+from .common import compact, map_texts, text_rows
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Homes of an anchor beyond which it is compared in blocks, and fingerprints of a block.
@@ -130,7 +130,7 @@ def links(fps: DataFrame, bits: int = BITS, many: int = MANY, block: int = BLOCK
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     near, around = homes(fps), covers(fps)
     counted = near.groupBy("anchor").agg(F.count("*").alias("n_homes")).filter(F.col("n_homes") > many)
-    heavy = written(around.join(counted, "anchor").groupBy("anchor").agg(F.count("*").alias("n_around"), F.first("n_homes").alias("n_homes")), "heavy-anchors")
+    heavy = compact(around.join(counted, "anchor").groupBy("anchor").agg(F.count("*").alias("n_around"), F.first("n_homes").alias("n_homes")), "heavy-anchors")
     light = near.join(heavy, "anchor", "left_anti").alias("h").join(around.alias("c"), "anchor")
     light = light.filter((F.col("h.fp") < F.col("c.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("c.fp"))) <= bits)).select(F.col("h.fp").alias("a"), F.col("c.fp").alias("b"))
 
@@ -152,14 +152,14 @@ def links(fps: DataFrame, bits: int = BITS, many: int = MANY, block: int = BLOCK
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the smallest node it is connected with) for every node of ``edges``, by alternating star contractions."""
     x, y = F.col(a), F.col(b)
-    now = written(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
+    now = compact(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "stars")
+        now = compact(small, "stars")
         # done when every node points once, and to one that doesn't point itself
         if now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and now.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -167,19 +167,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) for every row."""
-    prints = written(fingerprints(df, id_col, text_col), "fingerprints")
+    prints = compact(fingerprints(df, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    found = components(links(written(distinct.select("fp"), "distinct-fingerprints")))
+    found = components(links(compact(distinct.select("fp"), "distinct-fingerprints")))
     # Only fingerprints of several rows or with links need a look-up; for all others the row is its own component.
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = written(rooted.join(low, "root").select("fp", "component"), "components")
+    named = compact(rooted.join(low, "root").select("fp", "component"), "components")
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of its smallest id, with all columns. Of rows repeated with the same id, one stays."""
-    found = written(near_duplicates(df, id_col, text_col), "near-duplicates")
+    found = compact(near_duplicates(df, id_col, text_col), "near-duplicates")
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     own = df.alias("d")
     once = own.join(stay.filter("n = 1").alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.doc_id")), "left_semi")
