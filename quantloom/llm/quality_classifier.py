@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, release, slices, text_rows, written
+from .common import compact, map_texts, release, slices, text_rows
 
 #: Positives that the model is fitted on at most; unlabelled texts: twice as many.
 SAMPLE = 4_000
@@ -174,14 +174,14 @@ def _score(model: PuModel, get=F.col) -> Column:
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    vectors = written(_vectors(df, id_col, text_col), "quality-vectors")
+    vectors = compact(_vectors(df, id_col, text_col), "quality-vectors")
     model = fit(vectors, labels)
     return vectors.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _score(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``df`` that the model takes for good, with all their columns; texts are read twice and not shuffled."""
-    model = fit(written(_vectors(df, id_col, text_col), "quality-vectors"), labels)
+    model = fit(compact(_vectors(df, id_col, text_col), "quality-vectors"), labels)
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def vector(texts: pd.Series) -> pd.DataFrame:

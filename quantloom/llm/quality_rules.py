@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, release, slices, text_rows, written
+from .common import compact, map_texts, release, slices, text_rows
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_echo long, n_bars long, n_marks long"
 
@@ -167,7 +167,7 @@ def _base_failed(get=F.col) -> Column:
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Statistics, votes, posterior and verdict of every row. The statistics are written once, so texts are read once."""
-    stats = written(map_texts(text_rows(df, id_col, text_col), text_stats, STATS), "rule-stats")
+    stats = compact(map_texts(text_rows(df, id_col, text_col), text_stats, STATS), "rule-stats")
     return (
         stats.withColumn("votes", _pattern()).join(_posteriors(stats), "votes", "left")
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"), (~_base_failed() & (F.col("quality") >= threshold)).alias("kept"), "votes", "quality")
