@@ -26,7 +26,7 @@ FORMAT = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
 #: Bytes of text that are encoded at once: the more, the seldomer a part is looked up anew.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 5 << 20
 
 
 def range_bounds(ids: DataFrame) -> list[int]:
