@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once, besides the Arrow batch that Spark sends.
 BATCH_BYTES = 2 << 20
-#: Rows of an Arrow batch. Texts are long, so the ten thousand of Spark's default would be tens of megabytes in each of several buffers.
-BATCH_ROWS = 1_000
+#: Rows of a batch. Texts are long, so the thousands of Spark's defaults would be tens of megabytes in each of several buffers.
+BATCH_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,10 @@ def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[lis
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's rows per Arrow batch to ``BATCH_ROWS`` where they are more; Spark reads the setting when a query runs."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Sets the session's rows per Arrow batch and per batch of the Parquet and ORC readers to ``BATCH_ROWS`` where they are more; Spark reads the settings when a query runs."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.orc.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def compact(df: DataFrame, name: str) -> DataFrame:

@@ -190,5 +190,6 @@ def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(FEATURES))), columns=FEATURES)
 
     get = lambda f: F.col("__vector")[f]
-    kept = df.withColumn("__vector", vector(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    # "Nondeterministic" keeps the optimizer from running the function a second time, for the filter.
+    kept = df.withColumn("__vector", vector.asNondeterministic()(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
     return kept.filter(_score(model, get) >= threshold).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -186,8 +186,9 @@ def keep(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataF
         return pd.DataFrame({n: np.concatenate([np.asarray(p[n], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for n in names})
 
     get = lambda c: F.col("__stats")[c]
+    # "Nondeterministic" keeps the optimizer from running the function a second time, for the filter.
     return (
-        df.withColumn("__stats", stats(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+        df.withColumn("__stats", stats.asNondeterministic()(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
         .withColumn("votes__", _pattern(get)).join(posteriors.withColumnsRenamed({"votes": "votes__", "quality": "quality__"}), "votes__", "left")
         .filter(~_base_failed(get) & (F.col("quality__") >= threshold)).select(*[F.col(f"`{c}`") for c in df.columns])
     )
