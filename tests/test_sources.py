@@ -70,7 +70,7 @@ def test_bad_files(spark, tmp_path):
     with pytest.raises(ValueError):
         sources.load(spark, f"{tmp_path}/x.xls")
     with pytest.raises(ValueError):
-        sources.load(spark, "A", backend="polars")
+        sources.load(spark, "A", backend="other")
 
 
 def test_tickers_and_cache(spark, cache):
