@@ -55,15 +55,18 @@ class PieceEncoder:
     and the library encodes only the parts that aren't in the memo, many in one string: as no part has a blank or a line end
     but at its start, the tokens that begin with one tell where parts begin. Texts with any other white space, or with white
     space that touches white space or an end of the text, go to the library whole.
+
+    With ``plain``, the literals of special tokens in a text are ordinary characters, so no text can hold a special id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = plain
         self.memo = Memo(MEMO)
         vocab = self.library.get_vocab()
         #: by id: whether the token begins with a blank or a line end, in the form that byte-level vocabularies give them
@@ -119,6 +122,6 @@ class PieceEncoder:
         return out
 
 
-def loaded(path: str) -> PieceEncoder:
+def loaded(path: str, plain: bool = False) -> PieceEncoder:
     """One encoder per Python worker, so its memo outlives a task."""
-    return kept(("pieces", path), lambda: PieceEncoder(path))
+    return kept(("pieces", path, plain), lambda: PieceEncoder(path, plain))

@@ -6,7 +6,9 @@ cross blocks are stitched by a prefix scan over one small row per block: documen
 
 Defined results: ids after the last separator of a file are one unfinished document (``closed`` false); an empty file has
 none; a separator right after another is a document of one token (the separator counts); a null or empty text is written as
-a separator alone; repeated ids are rows of their own.
+a separator alone; repeated ids are rows of their own. The literal of the end-of-document token in a text is encoded as
+ordinary characters; should the end id come from inside a text all the same, as with an end id that is no special token of
+the vocabulary, writing fails.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, wid
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder, name, at = loaded(tokenizer), f"{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
+        encoder, name, at = loaded(tokenizer, plain=True), f"{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
         system, top = _open(path)
         system.create_dir(top, recursive=True)
         end = np.array([end_id], "<u4").tobytes()
@@ -56,6 +58,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, wid
                 data = np.frombuffer(b"".join(x + end for x in encoder.encode(texts)), "<u4")
                 if width == 2 and len(data) and data.max() > 0xFFFF:
                     raise ValueError("an id needs more than two bytes")
+                if np.count_nonzero(data == end_id) != len(ids):
+                    raise ValueError("a text holds the end id")
                 out.write(data.astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(at, at + len(ids)), pa.int64()), pa.array(ids, pa.int64())], names=["file", "position", "doc_id"])
                 at += len(ids)

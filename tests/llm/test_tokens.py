@@ -149,6 +149,26 @@ def test_flat_files(spark, docs, sample, library, block):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in found) == want and all(r.closed for r in found)
 
 
+@pytest.mark.parametrize("block", [256, 1 << 20])
+def test_flat_files_with_the_literal_of_the_end(spark, docs, block):
+    """Row 9 holds the literal; it and the rows after it keep their own counts, and no position is left over."""
+    plain = Tokenizer.from_file(BYTES)
+    plain.encode_special_tokens = True
+    odd = spark.createDataFrame([(20, "see <|endoftext|> here"), (21, "<|endoftext|>"), (22, "after"), (23, " <|endoftext|>\n\n<|endoftext|>x")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(odd).coalesce(1)
+    path = fresh_path(spark, "flat")
+    manifest = _stored(spark, token_counts.write_token_files(df, path, BYTES, 50256))
+    found = token_counts.count_documents(token_counts.scan_blocks(token_counts.blocks(spark, path, manifest, block), path, 50256)).join(manifest, ["file", "position"], "full").collect()
+    want = sorted((-1 if g.doc_id is None else g.doc_id, len(plain.encode(g.text or "", add_special_tokens=False).ids) + 1) for g in df.collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in found) == want and all(r.closed for r in found)
+
+
+def test_an_end_id_inside_a_text_is_refused(spark, library):
+    inside = library[BYTES].encode("here", add_special_tokens=False).ids[0]
+    with pytest.raises(Exception, match="a text holds the end id"):
+        token_counts.write_token_files(spark.createDataFrame([(1, "here")], "doc_id long, text string"), fresh_path(spark, "flat"), BYTES, inside).collect()
+
+
 def _stored(spark, df):
     path = fresh_path(spark, "manifest")
     df.write.parquet(path)
