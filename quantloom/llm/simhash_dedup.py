@@ -177,11 +177,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def signed(x: int) -> int:
+    """An unsigned hash of 64 bits as Spark stores it."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def mark(text: bytes) -> int:
+    """What Spark's ``xxhash64`` gives for the text."""
+    return signed(xxhash.xxh64_intdigest(text, 42))
+
+
+def least_rows(prints: DataFrame) -> DataFrame:
+    """For each ``node``: the row of its smallest id (null comes last) and then its smallest mark, as ``least``, with the number ``n`` of rows that have both."""
+    rows = prints.groupBy("node", "doc_id", "mark").agg(F.count("*").alias("n"))
+    return rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "n")).alias("least"))
+
+
+def survivors(df: DataFrame, least: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``df`` that stay: of each component of ``found`` (node, root) and of each node outside it, the least row of ``least``."""
+    rooted = least.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    stay = compact(rooted.select("least.*"), "survivors")
+    own = df.withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))})
+    same = F.col("__id").eqNullSafe(F.col("s.doc_id")) & (F.col("__mark") == F.col("s.mark"))
+    once = own.join(stay.filter("n = 1").alias("s"), same, "left_semi")
+    again = own.join(stay.filter("n > 1").alias("s"), same, "left_semi").dropDuplicates(["__id", "__mark"])
+    return once.unionByName(again).drop("__id", "__mark")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that of its smallest id, with all columns. Of rows repeated with the same id, one stays."""
-    found = compact(near_duplicates(df, id_col, text_col), "near-duplicates")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    own = df.alias("d")
-    once = own.join(stay.filter("n = 1").alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    again = own.join(stay.filter("n > 1").alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.doc_id")), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    """One row of each component, that of its smallest id, with all columns; a null id is the largest.
+
+    A row is known by id and text: of rows that repeat both one stays, and different texts under one id, or without any, are
+    rows of their own.
+    """
+    prints = compact(map_texts(text_rows(df, id_col, text_col), lambda ids, texts: {"doc_id": ids, "mark": list(map(mark, texts)), "node": [fingerprint(t.lower().split()) for t in texts]}, "doc_id long, mark long, node long"), "fingerprints")
+    found = components(links(compact(prints.select(F.col("node").alias("fp")).distinct(), "distinct-fingerprints")))
+    return survivors(df, least_rows(prints), found, id_col, text_col)

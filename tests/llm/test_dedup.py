@@ -129,6 +129,20 @@ def test_one_row_of_each_group_stays(sample):
     assert kept == {r.component_id for r in found} and max(kept) < 100000
 
 
+def test_rows_of_different_texts_stay_whatever_their_ids(spark):
+    """Null ids and a repeated id over unrelated texts; copies of each go."""
+    texts = ["a first text about rivers", "some other words on trains", "nothing to do with either of them", "one more that stands alone"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[3]), (None, None), (None, "")]
+    kept = sd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (0, "")])
+
+
+def test_marks_equal_those_of_spark(spark):
+    texts = ["", "a", "abcdefg", "x" * 31, "é" * 40, "中" * 333]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64(F.col("t").cast("binary"))).collect()
+    assert [r[0] for r in got] == [sd.mark(t.encode()) for t in texts]
+
+
 def test_forest_of_blocks():
     a, b = sd._forest(np.array([0, 255], np.int64), np.array([1, 3, 0xF0F0F0], np.int64), 3)
     assert set(zip(a.tolist(), b.tolist())) == {(1, 0), (3, 0)}
