@@ -99,13 +99,17 @@ def _forest(homes_in: np.ndarray, others: np.ndarray, bits: int) -> tuple[np.nda
     """Edges that connect what the links between two blocks connect: each fingerprint with the first of its component."""
     nodes, where = np.unique(np.concatenate([homes_in, others]), return_inverse=True)
     a, b = where[: len(homes_in)], where[len(homes_in) :]
-    label = np.arange(len(nodes))
     left, right = [], []
     for lo in range(0, len(a), 128):
         x, y = np.nonzero(np.bitwise_count((homes_in[lo : lo + 128, None] ^ others[None, :]).view(np.uint64)) <= bits)
         left.append(a[lo + x])
         right.append(b[y])
-    left, right = np.concatenate(left or [a[:0]]), np.concatenate(right or [a[:0]])
+    return spanning(nodes, np.concatenate(left or [a[:0]]), np.concatenate(right or [a[:0]]))
+
+
+def spanning(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the first of its component, for links between positions of ``nodes``."""
+    label = np.arange(len(nodes))
     while True:
         before = label.copy()
         low = np.minimum(label[left], label[right])
