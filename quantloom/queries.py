@@ -385,10 +385,18 @@ def _weighted(b: DataFrame) -> DataFrame:
     _PAIR, "v AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cv FROM o WHERE a IS NOT NULL AND b IS NOT NULL)",
     "n AS (SELECT min(symbol) AS sa, (SELECT min(symbol) FROM bars WHERE symbol > (SELECT min(symbol) FROM bars)) AS sb FROM bars)", bars=DAYS, source="v, n"), daily_events)
 def _min_variance(b: DataFrame) -> DataFrame:
-    found = portfolio.minimum_variance_weights(b.filter(F.col("symbol").isin(_symbols(b))))
+    return _weights(b.filter(F.col("symbol").isin(_symbols(b))))
+
+
+def _weights(b: DataFrame) -> DataFrame:
+    found = portfolio.minimum_variance_weights(b)
     return b.sparkSession.createDataFrame([(s, round(w, 6)) for s, w in found.items()], "symbol string, weight double")
 
 
+# All symbols; the SQL above is the closed form for two, so NumPy is the oracle here (tests/test_risk.py).
+query("minimum_variance_weights_all", None, daily_events)(_weights)
+
+
 # --- quality and profile ----------------------------------------------------------------------------------------------------------
 
 query("detect_gaps", sql(

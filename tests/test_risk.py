@@ -155,3 +155,16 @@ def test_norm_ppf():
     assert norm_ppf(0.975) == pytest.approx(1.96, abs=1e-3) and norm_ppf(0.5) == pytest.approx(0, abs=1e-3)
     assert norm_ppf(0) == norm_ppf(1) == norm_ppf(-1) == 0.0
     assert pd.Series([norm_ppf(p / 100) for p in range(1, 100)]).is_monotonic_increasing
+
+
+def test_minimum_variance_of_all_symbols(spark):
+    """The query over the whole table, against NumPy over days on which every symbol has a return."""
+    from quantloom import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    closes = q.daily_events(spark, sf).select("symbol", "timestamp", "close").toPandas().pivot(index="timestamp", columns="symbol", values="close").astype(float)
+    rets = pd.concat([closes[s].dropna().pct_change() for s in closes.columns], axis=1).dropna()
+    raw = np.linalg.pinv(np.cov(rets.to_numpy().T)) @ np.ones(rets.shape[1])
+    got = {r.symbol: r.weight for r in q.QUERIES["minimum_variance_weights_all"](spark, sf).collect()}
+    assert len(got) == len(closes.columns) > 2 and sum(got.values()) == pytest.approx(1, abs=1e-5)
+    assert [got[s] for s in closes.columns] == pytest.approx((raw / raw.sum()).tolist(), abs=2e-6)
