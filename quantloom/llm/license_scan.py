@@ -11,6 +11,7 @@ stays null; columns other than the two that are named are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import repeat
 
 import numpy as np
@@ -182,32 +183,52 @@ class LicenseScanner:
             into["segments"].append((offset + len(ids) - matched, matched, state))
 
     def _chains(self, segments: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """The best chain of each template: matches in the order of text and template, at most ``max_gap`` words apart."""
+        """All chains that cover enough of a template, best first; of those of one label that overlap, the best."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for start, n, state in segments:
             for k, end in self.automaton.ends[state]:
                 if k < len(self.templates):
                     by.setdefault(k, []).append((start, end - n + 1, n))
-        best: dict[str, tuple[str, int, int, float]] = {}
+        found: dict[str, list[tuple[str, int, int, float]]] = {}
         for k, parts in by.items():
             label, template = self.templates[k]
-            parts.sort()
-            chains: list[tuple[int, int, int, int]] = []  # covered words, start, end in the text, end in the template
-            recent = 0
-            for start, t, n in parts:
-                while recent < len(chains) and parts[recent][0] + parts[recent][2] + self.max_gap + len(template) < start:
-                    recent += 1
-                cov, first = n, start
-                for c, s, e, te in chains[recent:]:
-                    cut = max(0, e - start, te - t)  # overlapping words count once
-                    if cut < n and start - e <= self.max_gap and t - te <= self.max_gap and s < start and c + n - cut > cov:
-                        cov, first = c + n - cut, s
-                chains.append((cov, first, start + n, t + n))
-            cov, s, e, _ = max(chains, key=lambda x: (x[0], -x[1]))
-            share = min(1.0, cov / len(template))
-            if share >= self.min_coverage and (label not in best or (share, e - s) > (best[label][3], best[label][2] - best[label][1])):
-                best[label] = (label, s, e, share)
-        return sorted(best.values())
+            todo = [sorted(parts)]
+            while todo:
+                some = todo.pop()
+                taken = _apart([(cov, s, e) for cov, s, e, _ in self._chained(some, len(template)) if min(1.0, cov / len(template)) >= self.min_coverage], lambda x: (-x[0], x[1]))
+                found.setdefault(label, []).extend((label, s, e, min(1.0, cov / len(template))) for cov, s, e in taken)
+                # What lies between the chains taken may hold others that began in one of them.
+                cuts = [0, *(x for _, s, e in sorted(taken, key=lambda x: x[1]) for x in (s, e)), float("inf")]
+                gaps = [[x for x in some if lo <= x[0] and x[0] + x[2] <= hi] for lo, hi in zip(cuts[::2], cuts[1::2])] if taken else []
+                todo += [g for g in gaps if g]
+        return sorted(x for spans in found.values() for x in _apart(spans, lambda x: (-x[3], x[1] - x[2], x[1])))
+
+    def _chained(self, parts: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
+        """For each match, the best chain that ends with it: matches in the order of text and template, at most ``max_gap`` words apart."""
+        chains: list[tuple[int, int, int, int]] = []  # covered words, start, end in the text, end in the template
+        recent = 0
+        for start, t, n in parts:
+            while recent < len(chains) and parts[recent][0] + parts[recent][2] + self.max_gap + size < start:
+                recent += 1
+            cov, first = n, start
+            for c, s, e, te in chains[recent:]:
+                cut = max(0, e - start, te - t)  # overlapping words count once
+                if cut < n and start - e <= self.max_gap and t - te <= self.max_gap and s < start and c + n - cut > cov:
+                    cov, first = c + n - cut, s
+            chains.append((cov, first, start + n, t + n))
+        return chains
+
+
+def _apart(spans: list[tuple], rank) -> list[tuple]:
+    """Spans (start and end in the second and third place) in the order of ``rank`` that overlap none before them."""
+    starts, ends, out = [], [], []
+    for x in sorted(spans, key=rank):
+        k = bisect_right(starts, x[1])
+        if (not k or ends[k - 1] <= x[1]) and (k == len(starts) or x[2] <= starts[k]):
+            starts.insert(k, x[1])
+            ends.insert(k, x[2])
+            out.append(x)
+    return out
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, span_labels array<string>, span_starts array<long>, span_ends array<long>"

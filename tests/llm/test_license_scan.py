@@ -69,3 +69,14 @@ def test_hard_rows(docs, empty):
     for i in (2, 3, 4):
         assert (by[i].n_words, by[i].n_base, by[i].first_word, by[i].labels, by[i].score) == (0, 0, None, "", 0.0)
     assert [r.n_words for r in rows if r.doc_id == 5] == [3, 3] and by[None].n_words == 5 and by[7].n_words == 4000
+
+
+@pytest.mark.parametrize("filler", ["", "some prose of another kind stands here between the two notices and goes on for a while"])
+def test_every_copy_of_a_notice_has_a_span(filler):
+    """Concatenated files: three copies of one notice and one of another."""
+    isc, other = dict(TEMPLATES)["isc"], next((label, t) for label, t in TEMPLATES if label != "isc" and len(words_of(t.encode())) > 20)
+    text = f" {filler} ".join([isc, other[1], isc, isc.replace("for any purpose", "for every purpose")])
+    spans = LicenseScanner().scan([text.encode()])[0]["spans"]
+    mine = [s for s in spans if s[0] == "isc"]
+    assert len(mine) == 3 and all(a[2] <= b[1] for a, b in zip(mine, mine[1:])) and mine[0][3] == mine[1][3] == 1.0 > mine[2][3] >= 0.6
+    assert other[0] in {s[0] for s in spans}
