@@ -92,6 +92,8 @@ def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["load_parquet"] = _load
 ORACLES["load_parquet"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000"
+# The whole file, every row and column.
+QUERIES["load_parquet_all"] = lambda spark, sf_dir: load(spark, f"{sf_dir}/orders.parquet")
 
 QUERIES["event_bars"] = lambda spark, sf_dir: event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 ORACLES["event_bars"] = f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({HOURS}) q"

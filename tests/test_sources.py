@@ -115,3 +115,13 @@ def test_bars(spark):
     b = bar_builders.bars_orders(spark, "/root/testdata/sf0.001")
     assert b.count() == b.select("symbol", "timestamp").distinct().count() == 1402
     assert b.filter("low > open OR low > close OR high < open OR high < close").count() == 0
+
+
+def test_load_query_gives_the_whole_file(spark):
+    from quantloom import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/orders.parquet")
+    got = q.QUERIES["load_parquet_all"](spark, sf)
+    assert got.columns == want.columns and got.count() == want.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
