@@ -5,11 +5,18 @@ A merge list fixes how far to the left one more symbol at the right end of a str
 (a higher rank) whose right part begins with ``a`` can change in turn, and it reaches left by its own left part. So the
 longest such chain of rising ranks, weighted with the bytes of the left parts, bounds the influence: the *sufficient
 lookahead*. The transducer keeps a window a little longer than that, emits tokens that end before the lookahead and drops
-what it has emitted; by the definition of BPE the rest is tokenized as if it stood alone. Memory doesn't depend on the
-length of the text.
-
-``WordBpe`` does this for a vocabulary with word ends (lower case, white space dropped). Defined results: a null or empty
-text has no tokens and decodes to the empty string; repeated rows give repeated results; null ids stay null.
+what it has emitted; by the definition of BPE the rest is tokenized as if it stood alone. Every piece of every text goes
+through it; a memo of bounded size remembers what it gave for short pieces.
+
+A text is read in blocks that end at white space, where no token can reach across; a run without white space that is longer
+than a block is normalised, cut into pieces and merged while it is read. So what is held besides the text doesn't grow with
+it. Decoding takes ids in portions of any size through a state machine: bytes of tokens come out at once, and a character
+whose bytes aren't all there is held back.
+
+``WordBpe`` does this for a vocabulary with word ends (lower case, white space dropped). Defined results: a null, empty or
+blank text has no tokens and decodes to the empty string; texts of any length are encoded whole; repeated rows give repeated
+results; null ids stay null; an empty table gives an empty result; columns besides id and text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,7 +28,9 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -31,9 +40,17 @@ from .common import kept, map_texts, text_rows
 MEMO = 150_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 40
+#: Characters of a block of text, and ids that are decoded at once.
+BLOCK = 1 << 16
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What goes on with a piece that touches the end of what has been read; pieces of other kinds are complete.
+_LETTERS, _MARKS = regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")
+_CONTRACTION = 3
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_LAST_SPACE, _NEXT_SPACE = regex.compile(r"(?r)[\t-\r \x85\xa0  -     　]"), regex.compile(r"[\t-\r \x85\xa0  -     　]")
+#: Characters that never compose with one before them, so a text may be normalised in parts that begin with one.
+_SAFE = regex.compile(r"[!-~\p{Ll}\p{Lu}\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]")
 #: White space for str.split, but not for the vocabulary.
 _ODD = regex.compile(r"[\x1c-\x1f]")
 
@@ -154,61 +171,55 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token_bytes = {i: t.encode() for i, t in self.tokens.items()}
         self.symbol = byte_symbols()
         size = lambda t: len(t) - len(self.end) * (t.endswith(self.end) and len(t) > len(self.end))
         self.merges = MergeList([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], size)
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._memo, self._words = Memo(), Memo()
 
-    def _symbols(self, piece: str) -> list[str]:
-        out = list(map(self.symbol.__getitem__, piece.encode()))
-        out[-1] += self.end
-        return out
-
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Little-endian ids of a piece, and its token strings joined by blanks."""
-        if len(piece) > MEMO_CHARS:
-            return self._known(self.merges.stream(self._symbols(piece)))
+    def _symbols(self, parts: Iterable[str]) -> Iterator[str]:
+        """Symbols of a piece that comes in parts; the last one carries the word's end."""
+        last = None
+        for part in parts:
+            for byte in part.encode():
+                if last is not None:
+                    yield last
+                last = self.symbol[byte]
+        if last is not None:
+            yield last + self.end
+
+    def _ids(self, parts: Iterable[str]) -> Iterator[int]:
+        """Ids of a piece through the transducer; symbols that the vocabulary lacks are left out."""
+        return (i for t in self.merges.stream(self._symbols(parts)) if (i := self.vocab.get(t)) is not None)
+
+    def _piece(self, piece: str) -> bytes:
+        """Little-endian ids of a piece."""
         found = self._words.get(piece)
         if found is None:
-            # shorter than the window: the stream would hold all of it, so its flush is the whole work
-            found = self._known(self.merges.merge(self._symbols(piece)))
-            self._words.put(piece, found)
+            found = array("I", self._ids((piece,))).tobytes()
+            if len(piece) <= MEMO_CHARS:
+                self._words.put(piece, found)
         return found
 
-    def _known(self, tokens: Iterable[str]) -> tuple[bytes, str]:
-        """Symbols that the vocabulary lacks are left out."""
-        ids = [(i, t) for t in tokens if (i := self.vocab.get(t)) is not None]
-        return array("I", [i for i, _ in ids]).tobytes(), " ".join([t for _, t in ids])
-
-    def _pieces(self, chunk: str) -> list[tuple[bytes, str]]:
+    def _pieces(self, chunk: str) -> list[bytes]:
         """Pieces of text without special tokens."""
-        if chunk.isascii():
-            chunk = chunk.lower()
-        else:
-            chunk = _lower(unicodedata.normalize("NFC", chunk))
+        chunk = _normal(chunk)
         return [self._piece(chunk)] if chunk.isalpha() else [self._piece(p) for p in _PIECES.findall(chunk)]
 
-    def _encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        found: list[tuple[bytes, str]] = []
+    def _encode_chunk(self, chunk: str) -> bytes:
+        found: list[bytes] = []
         at = 0
         for m in self._special.finditer(chunk) if self._special and "<" in chunk else ():
             found += self._pieces(chunk[at : m.start()])
-            found.append((array("I", [self.special[m.group()]]).tobytes(), m.group()))
+            found.append(array("I", [self.special[m.group()]]).tobytes())
             at = m.end()
-        found += self._pieces(chunk[at:] if at else chunk)
-        if len(found) == 1:
-            return found[0]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
+        return b"".join(found + self._pieces(chunk[at:] if at else chunk))
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts between white space: no token has any."""
-        return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Little-endian 32-bit ids and the decoded text. Parts between white space are looked up or run through the transducer."""
+    def _encode_block(self, block: str) -> bytes:
+        """Parts between white space are looked up or encoded: no token has any white space."""
         memo, found = self._memo, []
-        for c in self.chunks(text):
+        for c in [x for x in _SPACES.split(block) if x] if _ODD.search(block) else block.split():
             x = memo.young.get(c)
             if x is None:
                 x = memo.get(c)
@@ -216,13 +227,46 @@ class WordBpe:
                     x = self._encode_chunk(c)
                     if len(c) <= MEMO_CHARS:
                         memo.put(c, x)
-            if x[0]:
-                found.append(x)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            found.append(x)
+        return b"".join(found)
+
+    def _encode_run(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """A long run without white space, in portions of ids."""
+        for m in self._special.finditer(text, at, end) if self._special else ():
+            yield from self._encode_plain(text, at, m.start())
+            yield array("I", [self.special[m.group()]]).tobytes()
+            at = m.end()
+        yield from self._encode_plain(text, at, end)
+
+    def _encode_plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        ids = chain.from_iterable(map(self._ids, _Run(text, at, end).pieces()))
+        while part := array("I", islice(ids, BLOCK)):
+            yield part.tobytes()
+
+    def stream(self, text: str, block: int = BLOCK) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of the text, block by block."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > block:
+                space = _LAST_SPACE.search(text, at + 1, at + block)
+                if space is None:
+                    space = _NEXT_SPACE.search(text, at + block)
+                    end = space.start() if space else end
+                    yield from self._encode_run(text, at, end)
+                    at = end
+                    continue
+                end = space.start()
+            yield self._encode_block(text[at:end])
+            at = end
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.stream(text))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by blanks, special tokens included; unknown ids are left out."""
-        return " ".join(t for i in ids if (t := self.tokens.get(i)) is not None)
+        machine = Decoder(self)
+        return machine.feed(array("I", ids).tobytes()).decode()
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text, piece by piece: bytes go through a state machine that holds an unfinished character back."""
@@ -241,37 +285,101 @@ class WordBpe:
         yield machine.decode(b"", final=True)
 
 
-def _lower(text: str) -> str:
-    """Lower case character by character: a capital sigma has one form, wherever it stands."""
-    return text.replace("Σ", "σ").lower()
+def _normal(text: str) -> str:
+    """NFC and lower case, character by character: a capital sigma has one form, wherever it stands."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+class _Run:
+    """Pieces of ``text[at:end]``, which has no white space, read in segments; each piece comes as an iterator of its parts."""
+
+    def __init__(self, text: str, at: int, end: int, segment: int = BLOCK):
+        self.text, self.at, self.end, self.segment = text, at, end, segment
+        self.held, self.pos = "", 0
+
+    def _more(self) -> bool:
+        if self.at >= self.end:
+            return False
+        safe = _SAFE.search(self.text, min(self.at + self.segment, self.end), self.end)
+        cut = safe.start() if safe else self.end
+        self.held, self.pos = self.held[self.pos :] + _normal(self.text[self.at : cut]), 0
+        self.at = cut
+        return True
+
+    def pieces(self) -> Iterator[Iterator[str]]:
+        while True:
+            while len(self.held) - self.pos < _CONTRACTION and self._more():
+                pass
+            if self.pos >= len(self.held):
+                return
+            piece = _PIECES.match(self.held, self.pos)
+            if piece is None:  # white space that only the vocabulary's pattern takes for it
+                self.pos += 1
+                continue
+            yield self._parts(piece)
+
+    def _parts(self, piece) -> Iterator[str]:
+        self.pos = piece.end()
+        yield piece.group()
+        for kind in (_LETTERS, _MARKS):
+            if kind.fullmatch(piece.group()):
+                while self.pos == len(self.held) and self._more() and (more := kind.match(self.held, self.pos)):
+                    self.pos = more.end()
+                    yield more.group()
+
+
+class Decoder:
+    """The state machine of ``WordBpe.decode``: ids in, bytes of the text out, in portions of any size."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bytes, self.begun = bpe.token_bytes, False
+
+    def feed(self, ids: bytes) -> bytes:
+        """UTF-8 bytes of the text that the ids (little-endian, 32 bits) add."""
+        known = self.bytes.get
+        parts = [x for x in map(known, np.frombuffer(ids, "<u4").tolist()) if x is not None]
+        if not parts:
+            return b""
+        out = b" ".join(parts)
+        if self.begun:
+            return b" " + out
+        self.begun = True
+        return out
 
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
+
+
 def loaded(path: str) -> WordBpe:
     """One encoder per Python worker, so its memo outlives a task."""
     return kept(("words", path), lambda: WordBpe(path))
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of tokens, ids as little-endian 32-bit integers, and the decoded text."""
+    """Per row: number of tokens, ids as little-endian 32-bit integers, and the text decoded from them."""
 
     def run(ids, texts, bpe):
-        pairs = [bpe.encode(t.decode("utf-8", "replace")) for t in texts]
-        return {"doc_id": ids, "n_tokens": [len(b) // 4 for b, _ in pairs], "ids": [b for b, _ in pairs], "decoded": [p for _, p in pairs]}
+        found = [bpe.encode(t.decode("utf-8", "replace")) for t in texts]
+        return {"doc_id": ids, "n_tokens": [len(x) // 4 for x in found], "ids": found, "decoded": [Decoder(bpe).feed(x).decode() for x in found]}
 
     return map_texts(text_rows(df, id_col, text_col), run, SCHEMA, lambda: loaded(path))
 
 
+def digest(bpe: WordBpe, text: str) -> tuple[int, str, str]:
+    """Number of tokens and SHA-256 of ids and of the text decoded from them, portion by portion."""
+    ids, decoded, machine, n = hashlib.sha256(), hashlib.sha256(), Decoder(bpe), 0
+    for part in bpe.stream(text):
+        n += len(part) // 4
+        ids.update(part)
+        decoded.update(machine.feed(part))
+    return n, ids.hexdigest(), decoded.hexdigest()
+
+
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of tokens and SHA-256 of ids and of the decoded text; nothing longer leaves the worker."""
+    """Per row: number of tokens and SHA-256 of ids and of the text decoded from them; nothing longer leaves the worker."""
 
     def run(ids, texts, bpe):
-        n, a, b = [], [], []
-        for t in texts:
-            data, decoded = bpe.encode(t.decode("utf-8", "replace"))
-            n.append(len(data) // 4)
-            a.append(hashlib.sha256(data).hexdigest())
-            b.append(hashlib.sha256(decoded.encode()).hexdigest())
+        n, a, b = zip(*(digest(bpe, t.decode("utf-8", "replace")) for t in texts))
         return {"doc_id": ids, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return map_texts(text_rows(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: loaded(path))

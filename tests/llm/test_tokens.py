@@ -47,16 +47,55 @@ def test_words_equal_the_library(library):
     bpe = bpe_stream.WordBpe(WORDS)
     for t in texts(2):
         want = library[WORDS].encode(t, add_special_tokens=False).ids
-        data, decoded = bpe.encode(t)
-        assert np.frombuffer(data, "<u4").tolist() == want
-        assert decoded == library[WORDS].decode(want, skip_special_tokens=False) == bpe.decode(want)
+        for block in (bpe_stream.BLOCK, 5, 17):
+            assert np.frombuffer(b"".join(bpe.stream(t, block)), "<u4").tolist() == want
+        assert bpe.decode(want) == library[WORDS].decode(want, skip_special_tokens=False)
+
+
+def test_every_piece_comes_from_the_transducer_and_every_text_from_ids(library, monkeypatch):
+    """All ids are counted on their way out of ``stream`` and into the decoder; nothing else makes ids or text."""
+    bpe, out, fed = bpe_stream.WordBpe(WORDS), [], []
+    stream, feed = bpe.merges.stream, bpe_stream.Decoder.feed
+    monkeypatch.setattr(bpe.merges, "stream", lambda symbols: (out.append(t) or t for t in stream(symbols)))
+    monkeypatch.setattr(bpe_stream.Decoder, "feed", lambda self, ids: fed.append(ids) or feed(self, ids))
+    text = "Words that differ from one another, 42 of them; unforgettably " + "x" * 300_000 + " <|endoftext|> end"
+    n, _, decoded = bpe_stream.digest(bpe, text)
+    want = library[WORDS].encode(text, add_special_tokens=False).ids
+    assert n == len(want) and np.frombuffer(b"".join(fed), "<u4").tolist() == want and len(fed) > 2
+    # a piece that comes twice would be in the memo, so none does here; special tokens aren't merged
+    assert [bpe.vocab[t] for t in out] == [i for i in want if i not in bpe.special.values()]
+    assert decoded == hashlib.sha256(library[WORDS].decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 50])
+def test_runs_read_in_segments_have_the_pieces_of_the_whole(segment):
+    for t in texts(8, 400) + ["'ll've're" * 9, "Ǆ" * 30 + "中文" * 40 + "각" * 9 + "e\u0301" * 20]:
+        t = "".join(bpe_stream._SPACES.split(t))
+        got = ["".join(p) for p in bpe_stream._Run(t, 0, len(t), segment).pieces()]
+        assert got == bpe_stream._PIECES.findall(bpe_stream._normal(t))
+
+
+@pytest.mark.parametrize("run", ["lorem ipsum dolor sit amet, ", "x", "Ab1!é"])
+def test_memory_does_not_grow_with_the_text(run):
+    """Peaks of a digest over a text and over one six times as long, besides the text itself."""
+    import tracemalloc
+
+    bpe, peaks = bpe_stream.WordBpe(WORDS), []
+    for n in (150_000, 900_000):
+        text = run * (n // len(run))
+        bpe_stream.digest(bpe, text[:100_000])
+        tracemalloc.start()
+        bpe_stream.digest(bpe, text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] + 1_000_000
 
 
 @pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "aeinrst", "ab", "the", "😀é"])
 def test_stream_equals_all_at_once(alphabet):
     bpe, rng = bpe_stream.WordBpe(WORDS), random.Random(alphabet)
     for n in (1, 2, 700, 1400, 4001):
-        symbols = bpe._symbols("".join(rng.choice(alphabet) for _ in range(n)))
+        symbols = list(bpe._symbols(["".join(rng.choice(alphabet) for _ in range(n))]))
         assert list(bpe.merges.stream(iter(symbols))) == bpe.merges.merge(list(symbols))
 
 
@@ -95,7 +134,7 @@ def test_held_symbols_are_bounded():
 
 def test_incremental_text():
     bpe = bpe_stream.WordBpe(WORDS)
-    ids = np.frombuffer(bpe.encode("Héllo wörld 😀<|endoftext|>")[0], "<u4").tolist()
+    ids = np.frombuffer(bpe.encode("Héllo wörld 😀<|endoftext|>"), "<u4").tolist()
     assert "".join(bpe.text(ids)).split() == ["héllo", "wörld", "😀", "<|endoftext|>"]
 
 
