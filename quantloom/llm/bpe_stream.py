@@ -40,8 +40,8 @@ from .common import kept, map_texts, text_rows
 MEMO = 150_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 40
-#: Characters of a block of text, and ids that are decoded at once.
-BLOCK = 1 << 16
+#: Characters of a block of text, and ids of a portion of a long run.
+BLOCK, PORTION = 1 << 16, 1 << 13
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: What goes on with a piece that touches the end of what has been read; pieces of other kinds are complete.
@@ -240,7 +240,7 @@ class WordBpe:
 
     def _encode_plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
         ids = chain.from_iterable(map(self._ids, _Run(text, at, end).pieces()))
-        while part := array("I", islice(ids, BLOCK)):
+        while part := array("I", islice(ids, PORTION)):
             yield part.tobytes()
 
     def stream(self, text: str, block: int = BLOCK) -> Iterator[bytes]:
