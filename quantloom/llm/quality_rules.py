@@ -1,11 +1,16 @@
 """Quality rules by weak supervision.
 
-Every rule looks at statistics of a text and votes good (1), junk (-1) or abstains (0). Expectation-maximisation over the
-counts of vote patterns (all documents; there are at most 3 ** rules patterns, whatever the input) estimates how often each
-rule votes what on good and on junk texts, and the posterior probability of each pattern replaces all-must-pass filtering.
-
-Defined results: a null or empty text has no words and fails the base rule; repeated rows are judged alike, each for itself;
-null ids stay; an empty table gives an empty result; columns besides id and text are ignored by ``judge`` and kept by ``keep``.
+Every rule looks at statistics of a text and votes good (1), junk (-1) or abstains (0); every rule can vote both ways. Junk
+comes in kinds, and a kind trips some rules and passes others, so the model has one class of good texts and one for each kind
+of ``KINDS``. Expectation-maximisation over the counts of vote patterns (all documents; there are at most 3 ** rules
+patterns, whatever the input) estimates how large each class is and how often each rule, where it votes, blames its texts. An
+abstention is no evidence. The posterior probability of the good class replaces all-must-pass filtering: a blame that good
+texts get now and then is outweighed by the rules that vouch, one that they never get isn't. Nothing is known of a rule
+beforehand but which kind it is meant for, and that only where the iteration begins.
+
+Defined results: a null or empty text has no words and fails the base rule; texts of any length count whole; repeated rows are
+judged alike, each for itself; null ids stay; an empty table gives an empty result; columns besides id and text are ignored by
+``judge`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,19 +18,20 @@ from __future__ import annotations
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, map_texts, release, slices, text_rows
+from .common import compact, done_with, map_texts, text_rows
+from .row_lists import FILE, ROW, numbered, save, stored, without
 
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_echo long, n_bars long, n_marks long"
+STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_echo long, n_bare long, n_marks long, n_stops long, n_distinct long"
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_STARTS = bytes(range(0x80, 0xC0)) + _SPACE
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 WINDOW = 8
 
 
@@ -80,85 +86,96 @@ def text_stats(ids: list, texts: list[bytes]) -> dict:
     return {
         "doc_id": ids, "n_words": counts, "word_chars": [len(t.translate(None, _NOT_STARTS)) for t in texts], "n_symbols": list(map(deleted, texts, repeat(_SYMBOLS))),
         "n_dup_lines": [len(x) - len(set(x)) for x in lines], "n_repeat_words": repeats, "n_lines": list(map(len, lines)), "n_upper": list(map(deleted, texts, repeat(_UPPER))),
-        "n_lower": list(map(deleted, texts, repeat(_LOWER))), "n_echo": echo, "n_bars": [t.count(b"|") for t in texts], "n_marks": [t.count(b"!") for t in texts],
+        "n_lower": list(map(deleted, texts, repeat(_LOWER))), "n_echo": echo, "n_bare": [n - len(t.translate(None, _PUNCTUATION).split()) for n, t in zip(counts.tolist(), texts)],
+        "n_marks": [t.count(b"!") for t in texts], "n_stops": [t.count(b".") for t in texts], "n_distinct": [len(set(w)) for w in split],
     }
 
 
 def rules(get=F.col) -> dict[str, Column]:
-    """Votes on the columns of ``STATS``; each is 1, 0 or -1 and never null. Most rules know one kind of junk and abstain on all else."""
+    """Votes on the columns of ``STATS``; each is 1, 0 or -1 and never null. Between the limit for blame and the one for praise, and on texts too short for it, a rule abstains."""
     words, letters = F.greatest(get("n_words"), F.lit(1)), F.greatest(get("n_upper") + get("n_lower"), F.lit(1))
-    length = get("word_chars") / words
-    junk = lambda c: F.when(c, -1).otherwise(0)
+    long, length, lines = get("n_words") >= 20, get("word_chars") / words, F.greatest(get("n_lines"), F.lit(1))
+    per_word = lambda c: get(c) / words
+    vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
+    upper, variety = get("n_upper") / letters, get("n_distinct") / F.pow(words, F.lit(0.85))
     return {
-        "symbols": junk(get("n_symbols") / words > 0.1),
-        "repeats": junk(get("n_repeat_words") / words > 0.3),
-        "echoes": junk((get("n_words") >= 20) & (get("n_echo") / words > 0.3)),
-        "capitals": junk((letters >= 20) & (get("n_upper") / letters > 0.5)),
-        "bars": junk(get("n_bars") / words > 0.05),
-        "marks": junk(get("n_marks") / words > 0.2),
-        "lines": junk((get("n_lines") >= 4) & (get("n_dup_lines") / F.greatest(get("n_lines"), F.lit(1)) > 0.3)),
-        "word_length": F.when((length < 2) | (length > 14), -1).when(length.between(3, 9), 1).otherwise(0),
-        "length": F.when(get("n_words") >= 50, 1).otherwise(0),
+        "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.01),
+        "bare": vote(per_word("n_bare") > 0.05, per_word("n_bare") < 0.005),
+        "word_length": vote((length < 3) | (length > 6.5), length.between(4, 6)),
+        "capitals": vote((letters >= 20) & (upper > 0.3), upper < 0.12),
+        "marks": vote(per_word("n_marks") > 0.2, per_word("n_marks") < 0.02),
+        "echoes": vote(long & (per_word("n_echo") > 0.15), per_word("n_echo") < 0.04),
+        "repeats": vote(per_word("n_repeat_words") > 0.2, get("n_repeat_words") == 0),
+        "lines": vote((get("n_lines") >= 4) & (get("n_dup_lines") / lines > 0.2), (get("n_lines") >= 2) & (get("n_dup_lines") == 0)),
+        "variety": vote(long & (variety < 0.55), long & (variety > 0.8)),
+        "sentences": vote(long & (per_word("n_stops") < 0.02), per_word("n_stops").between(0.04, 0.3)),
     }
 
 
-class LabelModel:
-    """Two classes; each rule votes independently given the class. Parameters are kept finite by pseudo-counts."""
+#: Kinds of junk and the rules that are meant for them.
+KINDS = {"symbols": ("symbols", "bare", "word_length"), "shouting": ("capitals", "marks"), "repetition": ("echoes", "repeats", "lines", "variety")}
+
 
-    def __init__(self, n_rules: int, prior: float = 0.8, steps: int = 200, smooth: float = 1.0, most_blame: float = 0.003):
-        """``most_blame``: what is known of every rule beforehand, the share of good texts that it blames at most. It keeps
-        the good class from taking in one of several kinds of junk, which agree among themselves more than with each other."""
-        self.prior, self.steps, self.smooth, self.most_blame = prior, steps, smooth, most_blame
-        # Probabilities of the votes -1, 0, 1 by class (junk, good).
-        self.votes = np.tile(np.array([[0.3, 0.5, 0.2], [0.005, 0.5, 0.495]]), (n_rules, 1, 1))
+class LabelModel:
+    """Good texts and several kinds of junk; given the class, each rule votes independently, and ``blame`` is the share of blames among its votes."""
+
+    def __init__(self, names: list[str], kinds: dict[str, tuple[str, ...]] = KINDS, prior: float = 0.8, steps: int = 500, smooth: float = 1.0):
+        """``smooth``: pseudo-counts of each vote, which keep logarithms finite."""
+        self.steps, self.smooth = steps, smooth
+        self.sizes = np.array([prior] + [(1 - prior) / len(kinds)] * len(kinds))
+        self.blame = np.full((len(names), len(kinds) + 1), 0.2)
+        self.blame[:, 0] = 0.03
+        for c, meant in enumerate(kinds.values(), 1):
+            self.blame[[names.index(n) for n in meant], c] = 0.9
+
+    @property
+    def prior(self) -> float:
+        """The share of good texts."""
+        return float(self.sizes[0])
+
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of each class for texts with these votes: good first, then the kinds."""
+        score = np.log(self.sizes) + (patterns == -1) @ np.log(self.blame) + (patterns == 1) @ np.log1p(-self.blame)
+        p = np.exp(score - score.max(1, keepdims=True)) if len(patterns) else score
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that a text with these votes is good."""
-        if not len(patterns):
-            return np.zeros(0)
-        score = np.tile(np.log([max(1 - self.prior, 1e-12), max(self.prior, 1e-12)]), (len(patterns), 1))
-        for r in range(patterns.shape[1]):
-            score += np.log(self.votes[r][:, patterns[:, r] + 1]).T
-        score -= score.max(1, keepdims=True)
-        p = np.exp(score)
-        return p[:, 1] / p.sum(1)
+        return self.classes(patterns)[:, 0]
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         if not len(patterns) or not counts.sum():
             return self
         for _ in range(self.steps):
-            good = self.posterior(patterns)
-            before = self.votes.copy()
-            self.prior = float((counts * good).sum() + 1) / float(counts.sum() + 2)
-            for c, p in enumerate((1 - good, good)):
-                for r in range(patterns.shape[1]):
-                    w = np.bincount(patterns[:, r] + 1, counts * p, 3) + self.smooth
-                    self.votes[r, c] = w / w.sum()
-                    if c and self.votes[r, c, 0] > self.most_blame:
-                        self.votes[r, c, 1:] *= (1 - self.most_blame) / self.votes[r, c, 1:].sum()
-                        self.votes[r, c, 0] = self.most_blame
-            if np.abs(self.votes - before).max() < 1e-9:
+            before, weight = self.blame, self.classes(patterns) * counts[:, None]
+            self.sizes = (weight.sum(0) + 1) / (counts.sum() + len(self.sizes))
+            blames, praises = (patterns == -1).T @ weight + self.smooth, (patterns == 1).T @ weight + self.smooth
+            self.blame = blames / (blames + praises)
+            if np.abs(self.blame - before).max() < 1e-9:
                 break
         return self
 
     def accuracies(self) -> np.ndarray:
-        """Estimated probability that a rule is right where it votes."""
-        right = self.prior * self.votes[:, 1, 2] + (1 - self.prior) * self.votes[:, 0, 0]
-        wrong = self.prior * self.votes[:, 1, 0] + (1 - self.prior) * self.votes[:, 0, 2]
-        return right / np.maximum(right + wrong, 1e-12)
+        """Estimated probability that a rule is right where it votes, if it votes as often on every class."""
+        return self.sizes[0] * (1 - self.blame[:, 0]) + self.blame[:, 1:] @ self.sizes[1:]
 
 
 def _pattern(get=F.col) -> Column:
     return F.concat(*[F.substring(F.lit("-0+"), v.cast("int") + 2, F.lit(1)) for v in rules(get).values()])
 
 
-def _posteriors(stats: DataFrame) -> DataFrame:
-    """Each vote pattern of ``stats`` with its posterior. All rows are counted; at most 3 ** rules patterns come to the driver."""
-    seen = stats.groupBy(_pattern().alias("votes")).agg(F.count("*").alias("n")).collect()
-    codes = np.array([["-0+".index(c) - 1 for c in x["votes"]] for x in seen], np.int64).reshape(len(seen), len(rules()))
-    model = LabelModel(codes.shape[1]).fit(codes, np.array([x["n"] for x in seen], float))
-    found = dict(zip((x["votes"] for x in seen), model.posterior(codes).tolist()))
-    return F.broadcast(stats.sparkSession.createDataFrame(sorted(found.items()) or [("", 0.0)], "votes string, quality double"))
+def fitted(stats: DataFrame) -> tuple[LabelModel, dict[str, float]]:
+    """The model of ``stats``, and each vote pattern with its posterior. All rows are counted; at most 3 ** rules patterns come to the driver."""
+    seen = sorted(stats.groupBy(_pattern().alias("votes")).agg(F.count("*").alias("n")).collect())
+    names = list(rules())
+    codes = np.array([["-0+".index(c) - 1 for c in x["votes"]] for x in seen], np.int64).reshape(len(seen), len(names))
+    model = LabelModel(names).fit(codes, np.array([x["n"] for x in seen], float))
+    return model, dict(zip((x["votes"] for x in seen), model.posterior(codes).tolist()))
+
+
+def _judged(stats: DataFrame, threshold: float) -> DataFrame:
+    found = F.broadcast(stats.sparkSession.createDataFrame(sorted(fitted(stats)[1].items()) or [("", 0.0)], "votes string, quality double"))
+    return stats.withColumn("votes", _pattern()).join(found, "votes", "left").withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def _base_failed(get=F.col) -> Column:
@@ -168,27 +185,14 @@ def _base_failed(get=F.col) -> Column:
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Statistics, votes, posterior and verdict of every row. The statistics are written once, so texts are read once."""
     stats = compact(map_texts(text_rows(df, id_col, text_col), text_stats, STATS), "rule-stats")
-    return (
-        stats.withColumn("votes", _pattern()).join(_posteriors(stats), "votes", "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"), (~_base_failed() & (F.col("quality") >= threshold)).alias("kept"), "votes", "quality")
-    )
+    return _judged(stats, threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
 
 
 def keep(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with all their columns. A first pass counts votes, a second one filters: no text is shuffled."""
-    posteriors = _posteriors(map_texts(text_rows(df.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), text_stats, STATS))
-    names = [x.split()[0] for x in STATS.split(", ")][1:]
-
-    @F.pandas_udf(", ".join(f"{x} long" for x in names))
-    def stats(texts: pd.Series) -> pd.DataFrame:
-        release()
-        parts = [text_stats(i, t) for i, t in slices(list(range(len(texts))), texts.tolist())]
-        return pd.DataFrame({n: np.concatenate([np.asarray(p[n], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for n in names})
-
-    get = lambda c: F.col("__stats")[c]
-    # "Nondeterministic" keeps the optimizer from running the function a second time, for the filter.
-    return (
-        df.withColumn("__stats", stats.asNondeterministic()(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-        .withColumn("votes__", _pattern(get)).join(posteriors.withColumnsRenamed({"votes": "votes__", "quality": "quality__"}), "votes__", "left")
-        .filter(~_base_failed(get) & (F.col("quality__") >= threshold)).select(*[F.col(f"`{c}`") for c in df.columns])
-    )
+    """The rows of ``df`` that the rules keep, with all their columns. Statistics are made once; texts then move from the scan to the output, past a list of the rows that go."""
+    table = numbered(stored(df))
+    rows = table.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), FILE, ROW)
+    stats = compact(map_texts(text_rows(rows, also=(FILE, ROW)), text_stats, STATS), "rule-stats")
+    out = without(table, save(_judged(stats, threshold).filter(~F.col("kept")).select(FILE, ROW)))
+    done_with(stats)
+    return out

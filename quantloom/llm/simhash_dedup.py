@@ -8,11 +8,17 @@ anchors within two bits, of which there are 17 at most, and is compared there wi
 
 Texts with the same fingerprint count once. An anchor that is the home of many fingerprints (a large group of near copies)
 is compared in blocks of bounded size, each of which gives a spanning forest of its links and not the links themselves.
-Components come from alternating star contractions over the edges, written to the shared folder after each round.
+Components come from alternating star contractions over the edges, written to the shared folder after each round. Wherever
+rows meet a key that many of them may share (a hub of a component, a popular fingerprint), the few keys that hold more than
+1/512 of the rows are broadcast and the others shuffled.
 
-Defined results: a null or empty text has the fingerprint 0 and is linked like any other; repeated rows share a component; a
-null id takes part, but only names a component of null ids; an empty table gives an empty result; columns besides id and text
-are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+No text is shuffled: fingerprints are made where texts are read, and ``drop_near_duplicates`` leaves rows out by lists of rows
+per file.
+
+Defined results: a null or empty text has the fingerprint 0 and is linked like any other; texts of any length count whole;
+repeated rows share a component; a null id takes part, but only names a component of null ids; an empty table gives an empty
+result; columns besides id and text are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -25,12 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, map_texts, text_rows
+from .common import compact, done_with, map_texts, text_rows
+from .row_lists import FILE, ROW, numbered, save, stored, without
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Homes of an anchor beyond which it is compared in blocks, and fingerprints of a block.
-MANY, BLOCK = 24, 1024
+MANY, BLOCK = 24, 4096
 _ROWS = 4096
+#: A key with more than this share of the rows is broadcast in a join; there are fewer such keys than twice that number.
+SHARE = 512
 
 
 def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
@@ -153,17 +162,34 @@ def links(fps: DataFrame, bits: int = BITS, many: int = MANY, block: int = BLOCK
     return light.unionByName(dense)
 
 
+def uneven_join(rows: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``small``, which has one row for each key and as ``n`` how many rows have it at most.
+
+    Of ``total`` rows, the keys with more than one in ``SHARE`` are fewer than twice ``SHARE``, whatever the input: they may be
+    broadcast, so no task gets all rows of a hot key.
+    """
+    limit = max(total // SHARE, 1)
+    value = [c for c in small.columns if c not in (key, "n")]
+    heavy = small.filter(F.col("n") > limit).select(key, F.struct(*value).alias("__found"))
+    marked = rows.join(F.broadcast(heavy), key, "left")
+    hot = marked.filter(F.col("__found").isNotNull()).select(*rows.columns, "__found.*")
+    rest = marked.filter(F.col("__found").isNull()).drop("__found")
+    return hot.unionByName(rest.join(small.filter(F.col("n") <= limit).select(key, *value), key, how).select(*rows.columns, *value))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the smallest node it is connected with) for every node of ``edges``, by alternating star contractions."""
     x, y = F.col(a), F.col(b)
     now = compact(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     while True:
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = compact(small, "stars")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = compact(uneven_join(both.filter("v > u"), lowest, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pointing = uneven_join(large, low, "u", total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, now = now, compact(pointing.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        done_with(before, large)
         # done when every node points once, and to one that doesn't point itself
         if now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and now.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -172,13 +198,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) for every row."""
     prints = compact(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    found = components(links(compact(distinct.select("fp"), "distinct-fingerprints")))
+    distinct = compact(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    found = components(links(distinct.select("fp")))
     # Only fingerprints of several rows or with links need a look-up; for all others the row is its own component.
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
-    low = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = compact(rooted.join(low, "root").select("fp", "component"), "components")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+    rooted = compact(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp")), "rooted")
+    low = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    size = rooted.select("fp", F.col("n").alias("size"), "root")
+    named = compact(uneven_join(size, low, "root", rooted.count()).select("fp", "component", F.col("size").alias("n")), "components")
+    done_with(distinct, rooted)
+    return uneven_join(prints, named, "fp", prints.count(), "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def signed(x: int) -> int:
@@ -191,29 +219,26 @@ def mark(text: bytes) -> int:
     return signed(xxhash.xxh64_intdigest(text, 42))
 
 
-def least_rows(prints: DataFrame) -> DataFrame:
-    """For each ``node``: the row of its smallest id (null comes last) and then its smallest mark, as ``least``, with the number ``n`` of rows that have both."""
-    rows = prints.groupBy("node", "doc_id", "mark").agg(F.count("*").alias("n"))
-    return rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "n")).alias("least"))
-
+def survivors(table: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of a numbered table that stay: of each component of ``found`` (node, root) and of each node outside it, the row of the smallest id (null comes last), then of the smallest mark, then the first.
 
-def survivors(df: DataFrame, least: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of ``df`` that stay: of each component of ``found`` (node, root) and of each node outside it, the least row of ``least``."""
+    ``prints`` has node, doc_id, mark and the place of every row.
+    """
+    least = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", FILE, ROW)).alias("least"))
     rooted = least.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    stay = compact(rooted.select("least.*"), "survivors")
-    own = df.withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))})
-    same = F.col("__id").eqNullSafe(F.col("s.doc_id")) & (F.col("__mark") == F.col("s.mark"))
-    once = own.join(stay.filter("n = 1").alias("s"), same, "left_semi")
-    again = own.join(stay.filter("n > 1").alias("s"), same, "left_semi").dropDuplicates(["__id", "__mark"])
-    return once.unionByName(again).drop("__id", "__mark")
+    gone = prints.select(FILE, ROW).join(rooted.select(f"least.{FILE}", f"least.{ROW}"), [FILE, ROW], "left_anti")
+    return without(table, save(gone))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of its smallest id, with all columns; a null id is the largest.
 
-    A row is known by id and text: of rows that repeat both one stays, and different texts under one id, or without any, are
-    rows of their own.
+    A row is known by its place: of rows that repeat id and text one stays, and different texts under one id, or without any,
+    are rows of their own.
     """
-    prints = compact(map_texts(text_rows(df, id_col, text_col), lambda ids, texts: {"doc_id": ids, "mark": list(map(mark, texts)), "node": [fingerprint(t.lower().split()) for t in texts]}, "doc_id long, mark long, node long"), "fingerprints")
-    found = components(links(compact(prints.select(F.col("node").alias("fp")).distinct(), "distinct-fingerprints")))
-    return survivors(df, least_rows(prints), found, id_col, text_col)
+    table = numbered(stored(df))
+    prints = compact(map_texts(text_rows(table, id_col, text_col, (FILE, ROW)), lambda ids, texts: {"doc_id": ids, "mark": list(map(mark, texts)), "node": [fingerprint(t.lower().split()) for t in texts]}, "doc_id long, mark long, node long"), "fingerprints")
+    distinct = compact(prints.select(F.col("node").alias("fp")).distinct(), "distinct-fingerprints")
+    out = survivors(table, prints, components(links(distinct)))
+    done_with(prints, distinct)
+    return out

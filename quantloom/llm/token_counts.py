@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, text_rows
+from .common import gathered, open_folder, text_rows
 from .piece_encoder import loaded
 
 #: Bytes of a block, a multiple of every width.
@@ -29,13 +29,6 @@ BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 
 
-def _open(uri: str):
-    """A file system that executors reach, and the path in it; ``uri`` is inside the shared folder."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
-
-
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes one flat file per partition and returns the manifest: file, position of the document in it, doc_id.
 
@@ -50,7 +43,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, wid
 
         task = TaskContext.get()
         encoder, name, at = loaded(tokenizer, plain=True), f"{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
-        system, top = _open(path)
+        system, top = open_folder(path)
         system.create_dir(top, recursive=True)
         end = np.array([end_id], "<u4").tobytes()
         with system.open_output_stream(f"{top}/{name}") as out:
@@ -86,7 +79,7 @@ def scan_blocks(pieces: DataFrame, path: str, end_id: int, width: int = 2) -> Da
     """Per block: first token, tokens, and the ends of documents (tokens from the block's start to just after a separator)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = _open(path)
+        system, top = open_folder(path)
         for batch in batches:
             for x in batch.to_pylist():
                 with system.open_input_file(f"{top}/{x['file']}") as f:

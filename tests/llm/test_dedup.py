@@ -146,3 +146,43 @@ def test_marks_equal_those_of_spark(spark):
 def test_forest_of_blocks():
     a, b = sd._forest(np.array([0, 255], np.int64), np.array([1, 3, 0xF0F0F0], np.int64), 3)
     assert set(zip(a.tolist(), b.tolist())) == {(1, 0), (3, 0)}
+
+
+def test_hot_keys_are_not_shuffled(spark, monkeypatch):
+    """A third of the rows share a key, some keys have no match: the join is whole, and the shuffled part has no hot key."""
+    monkeypatch.setattr(sd, "SHARE", 8)
+    rows = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(600)], "k long, x long")
+    small = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("y")).filter("k % 5 = 0")
+    want = sorted((r.k, r.x, r.y) for r in rows.join(small.drop("n"), "k", "left").collect())
+    key = lambda t: tuple(-1 if v is None else v for v in t)
+    got = [(r.k, r.x, r.y) for r in sd.uneven_join(rows, small, "k", 600, "left").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sorted((r.k, r.x, r.y) for r in sd.uneven_join(rows, small, "k", 600).collect()) == sorted((t for t in want if t[2] is not None))
+
+
+@pytest.mark.parametrize("share", [4, 512])
+def test_hub_of_a_third_of_all_nodes(spark, monkeypatch, share):
+    monkeypatch.setattr(sd, "SHARE", share)
+    edges = [(500, i) for i in range(1000, 1300)] + [(i, i + 1) for i in range(2000, 2600, 2)] + [(1299, 2000), (1200, 3)]
+    got = {r.node: r.root for r in sd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    both = set(edges) | {(b, a) for a, b in edges}
+    assert got == brute_components(sorted({x for e in edges for x in e}), lambda a, b: (a, b) in both)
+
+
+def test_a_component_of_a_third_of_all_rows(spark, monkeypatch):
+    """Exact copies and near copies under one popular text, empty texts, and unrelated ones."""
+    monkeypatch.setattr(sd, "SHARE", 8)
+    rng = random.Random(9)
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [base] * 60 + [base + f" end{i}" for i in range(40)] + [""] * 60 + [None] * 20 + [" ".join(f"v{rng.randrange(9999)}" for _ in range(30)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = {i: brute_fp(t) for i, t in enumerate(texts)}
+    want = brute_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    assert {r.doc_id: r.component_id for r in sd.near_duplicates(df).collect()} == want
+    assert sorted(r.doc_id for r in sd.drop_near_duplicates(df).collect()) == sorted(set(want.values()))
+
+
+def test_no_text_is_shuffled(sample):
+    """What is left of the plan is a scan and a look at two numbers of each row."""
+    plan = sd.drop_near_duplicates(sample)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Scan parquet" in plan

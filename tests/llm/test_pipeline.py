@@ -3,10 +3,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from quantloom.llm import bpe_stream, decontaminate, quality_classifier, quality_rules, queries, simhash_dedup
+from quantloom.llm import bpe_stream, decontaminate, quality_classifier, quality_rules, queries
 from quantloom.llm.common import documents, written
 
 from .conftest import SF
+from .test_shingle_dedup import want_of
 
 
 def test_stages_decide_as_their_operators_do(spark):
@@ -18,7 +19,7 @@ def test_stages_decide_as_their_operators_do(spark):
     verdicts = [
         lambda d: ids(quality_classifier.score(d, labels).filter("predicted = 1")),
         lambda d: ids(quality_rules.judge(d).filter("kept")),
-        lambda d: Counter(r.component_id for r in simhash_dedup.near_duplicates(d).select("component_id").distinct().collect()),
+        lambda d: Counter(want_of([tuple(r) for r in d.select("doc_id", "text").collect()])),  # all pairs: five words, 0.8
         lambda d: ids(d) - Counter({r.doc_id: 1 for r in decontaminate.find_leaks(d, bench).collect()}),
     ]
     sizes = [docs.count()]
@@ -37,7 +38,7 @@ def test_stages_bear_hard_rows(spark, docs, empty):
     """All stages over hard rows with the columns of documents, and over no rows."""
     for df in (docs, empty):
         d = df.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
-        for name, stage in cp.STAGES[1:]:
+        for name, stage in cp.STAGES:
             before = d.columns
             d = written(stage(spark, d, SF), name)
             assert name == "bpe" or d.columns == before

@@ -34,15 +34,71 @@ def test_base_columns_equal_brute_force(spark, docs, sample):
             assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
 
 
-def test_label_model_learns_from_agreement():
-    rng = np.random.default_rng(0)
-    good = rng.random(4000) < 0.8
-    votes = np.stack([np.where(good, 0, np.where(rng.random(4000) < p, -1, 0)) for p in (0.6, 0.5, 0.4)] + [np.where(rng.random(4000) < 0.9, np.where(good, 1, -1), np.where(good, -1, 1))], 1)
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = qr.LabelModel(4).fit(patterns, counts.astype(float))
-    assert ((model.posterior(votes) >= 0.5) == good).mean() > 0.9
-    assert abs(model.prior - 0.8) < 0.1 and (model.accuracies() > 0.5).all()
-    assert len(qr.LabelModel(4).fit(patterns[:0], counts[:0].astype(float)).posterior(patterns[:0])) == 0
+NAMES = ["a", "b", "c", "d", "e"]
+TWO = {"x": ("a", "b"), "y": ("c", "d")}
+SIZES = np.array([0.8, 0.12, 0.08])
+BLAME = np.array([[0.1, 0.9, 0.1], [0.01, 0.9, 0.1], [0.01, 0.1, 0.9], [0.01, 0.1, 0.9], [0.5, 0.5, 0.5]])
+
+
+def drawn(seed, n=4000):
+    """Votes of five rules on good texts and two kinds of junk; the first rule blames one good text in ten, the last votes at random."""
+    rng = np.random.default_rng(seed)
+    kind = rng.choice(3, n, p=SIZES)
+    votes = np.where(rng.random((n, 5)) < BLAME[:, kind].T, -1, 1)
+    votes[rng.random((n, 5)) < 0.15] = 0
+    return kind, votes, *np.unique(votes, axis=0, return_counts=True)
+
+
+def plain_em(patterns, counts, names, kinds, steps):
+    """The same model by loops over patterns, classes and rules."""
+    C, R = len(kinds) + 1, len(names)
+    sizes = [0.8] + [0.2 / len(kinds)] * len(kinds)
+    blame = [[0.03] + [0.9 if n in meant else 0.2 for meant in kinds.values()] for n in names]
+    for step in range(steps + 1):
+        post = []
+        for p in patterns:
+            w = [sizes[c] * np.prod([blame[r][c] if p[r] == -1 else 1 - blame[r][c] if p[r] == 1 else 1.0 for r in range(R)]) for c in range(C)]
+            post.append([x / sum(w) for x in w])
+        if step == steps:
+            return sizes, blame, [x[0] for x in post]
+        sizes = [(sum(n * x[c] for n, x in zip(counts, post)) + 1) / (sum(counts) + C) for c in range(C)]
+        of = lambda r, c, v: 1 + sum(n * x[c] for p, n, x in zip(patterns, counts, post) if p[r] == v)
+        blame = [[of(r, c, -1) / (of(r, c, -1) + of(r, c, 1)) for c in range(C)] for r in range(R)]
+
+
+def test_expectation_maximisation_equals_plain_loops():
+    _, _, patterns, counts = drawn(1)
+    model = qr.LabelModel(NAMES, TWO, steps=15).fit(patterns, counts.astype(float))
+    sizes, blame, good = plain_em(patterns.tolist(), counts.tolist(), NAMES, TWO, 15)
+    assert np.allclose(model.sizes, sizes) and np.allclose(model.blame, blame) and np.allclose(model.posterior(patterns), good)
+
+
+def test_posterior_weighs_votes_instead_of_asking_for_all():
+    """A blame of the careless rule alone doesn't sink a text; the rule that votes at random counts for nothing; two blames that good texts never get do sink one."""
+    kind, votes, patterns, counts = drawn(2)
+    model = qr.LabelModel(NAMES, TWO).fit(patterns, counts.astype(float))
+    kept, all_pass = model.posterior(votes) >= 0.5, ~(votes == -1).any(1)
+    known = qr.LabelModel(NAMES, TWO)
+    known.sizes, known.blame = SIZES, BLAME
+    right = lambda x: (x == (kind == 0)).mean()
+    assert right(kept) > right(known.posterior(votes) >= 0.5) - 0.01 > 0.9 > 0.7 > right(all_pass)
+    assert (kept & ~all_pass & (kind == 0)).sum() > 500
+    assert abs(model.prior - 0.8) < 0.03 and np.abs(model.blame[:, 0] - [0.1, 0.01, 0.01, 0.01, 0.5]).max() < 0.04
+    one = lambda *v: model.posterior(np.array([v]))[0]
+    assert one(-1, 1, 1, 1, 1) > 0.9 > 0.1 > one(1, 1, -1, -1, 1) and abs(one(1, 1, 1, 1, -1) - one(1, 1, 1, 1, 0)) < 0.05
+    assert np.argsort(model.accuracies())[0] == 4
+    assert len(qr.LabelModel(NAMES, TWO).fit(patterns[:0], counts[:0].astype(float)).posterior(patterns[:0])) == 0
+
+
+def test_posterior_differs_from_all_must_pass_and_is_better(spark):
+    """Over labelled documents that pass the base rule: texts with a blame are kept, as their labels say, and junk isn't."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    x = qr.judge(docs).filter(~F.col("base_failed")).withColumnRenamed("quality", "posterior").join(labels, "doc_id").select("kept", "quality", F.col("votes").contains("-").alias("blamed")).collect()
+    good, junk = [r for r in x if r.quality == 1], [r for r in x if r.quality == 0]
+    share = lambda rows, f: sum(map(f, rows)) / len(rows)
+    assert share(good, lambda r: r.kept) > 0.995 > share(good, lambda r: not r.blamed) and share(junk, lambda r: r.kept) < 0.01
+    assert sum(r.kept and r.blamed for r in good) > 10 > 1 > sum(r.kept and r.blamed for r in junk)
 
 
 def test_rules_follow_the_labels(spark):
