@@ -6,9 +6,10 @@ around each hit is verified with Myers' bit-parallel edit distance, whose symbol
 
 Items come to the driver in blocks of bounded size (``block_bytes`` of text); every block is matched against all documents.
 
-Defined results: null or empty texts and items without words match nothing; repeated rows are reported each; several items
-with the same text are all reported; a null id stays null; columns besides id and text are ignored by ``find_leaks`` and kept
-by ``drop_leaks``.
+Defined results: null or empty texts and items without words match nothing; texts and items of any length are searched whole;
+repeated rows are reported each; several items with the same text are all reported; a null id stays null; an empty table on
+either side gives no finds; columns besides id and text are ignored by ``find_leaks`` and kept by ``drop_leaks``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from functools import reduce
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices, small_batches, text_rows
+from .common import kept, slices, text_rows
+from .row_lists import FILE, ROW, numbered, save, stored, without
 
 RATE = 0.2
 BLOCK_BYTES = 8 << 20
@@ -209,16 +210,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that hold no item, with all their columns; no text is shuffled."""
+    table = numbered(stored(docs))
+    rows = table.select(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"), FILE, ROW)
 
-    def clean(shared):
-        def flags(texts: pd.Series) -> pd.Series:
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = _finder(shared, rate)
-            return pd.Series([not f for _, part in slices(list(range(len(texts))), texts.tolist()) for f in finder.find(part)], dtype=bool)
+            for batch in batches:
+                for at, texts in slices(list(range(batch.num_rows)), batch.column(0).to_pylist()):
+                    hit = [k for k, found in zip(at, finder.find(texts)) if found]
+                    if hit:
+                        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit)) for c in (1, 2)], names=[FILE, ROW])
 
-        return F.pandas_udf(flags, "boolean")(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+        return rows.mapInArrow(run, f"{FILE} long, {ROW} long")
 
-    small_batches(docs.sparkSession)
-    for block in blocks_of(benchmark, block_bytes=block_bytes):
-        docs = docs.filter(clean(docs.sparkSession.sparkContext.broadcast(block)))
-    return docs
+    parts = [search(docs.sparkSession.sparkContext.broadcast(b)) for b in blocks_of(benchmark, block_bytes=block_bytes)]
+    return without(table, save(reduce(DataFrame.unionByName, parts))) if parts else docs

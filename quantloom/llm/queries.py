@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_stream, chat_format, decontaminate, license_scan, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, token_output
-from .common import documents, fresh_path, written
+from .common import documents, scratch_path, written
 
-#: Where the vocabulary files of public tokenizers lie; the environment variable names another folder.
-VOCABULARIES = os.environ.get("QUANTLOOM_VOCABULARIES", "/opt/tokenizers")
 #: The end-of-document id of each use of the byte-level vocabulary.
 OUTPUT_END_ID, FLAT_END_ID = 2, 50256
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def vocabulary(name: str) -> str:
-    return f"{VOCABULARIES}/{name}"
+    """Where the vocabulary file of a public tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are written as flat 16-bit token files; their counts come from the files alone."""
-    path = fresh_path(spark, "flat-tokens")
+    path = scratch_path(spark, "flat-tokens")
     manifest = written(token_counts.write_token_files(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), FLAT_END_ID), "manifest")
     scanned = written(token_counts.scan_blocks(token_counts.blocks(spark, path, manifest), path, FLAT_END_ID), "scan")
     counted = token_counts.count_documents(scanned)
@@ -50,7 +50,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "token-output")
+    path = scratch_path(spark, "token-output")
     token_output.write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), OUTPUT_END_ID)
     return token_output.summaries(spark, path)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, text_rows
+from .common import compact, gathered, small_batches, text_rows
 from .piece_encoder import loaded
 
 #: Columns of the file format. ``part`` is the range that the file belongs to, ``at`` the ids of earlier documents in it.
@@ -64,10 +64,10 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             at += int(ends[-1])
 
     rows, bounds = text_rows(df, id_col, text_col), range_bounds(df.select(F.col(id_col).cast("long").alias("doc_id")))
-    (
-        rows.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text").mapInArrow(run, FORMAT)
-        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(rows_per_index)).option("orc.create.index", "true").option("compression", "lz4").orc(path)
-    )
+    encoded = rows.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text").mapInArrow(run, FORMAT)
+    writer = encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(rows_per_index))
+    with small_batches(df.sparkSession):
+        writer.option("orc.create.index", "true").option("compression", "lz4").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -96,6 +96,5 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("at"), pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
-    # A few thousand ids a row: batches of fewer rows keep the Python side small.
-    found = read_tokens(spark, path).mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    found = compact(read_tokens(spark, path).mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long"), "token-summaries")
     return found.join(F.broadcast(offsets(spark, path)), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
