@@ -6,15 +6,17 @@ gradient is turned round instead of followed. The prior is estimated from the sa
 positives from unlabelled texts, and of all its thresholds the smallest ratio of the unlabelled share above it to the
 positive share above it bounds the share of positives among the unlabelled.
 
-A text enters only by statistics of its own characters and words. They are computed once for every row and written to the
-shared folder; scores come from them by a DataFrame expression.
+A text enters only by its own characters and words: shares of words, word pairs and runs of three bytes, hashed into
+``GRAMS`` places each, and ``FEATURES``, statistics of the whole text. Both are standardised; the many n-grams weigh a tenth, or
+they would drown the statistics and fit the sample by heart.
 
 The model is fitted on ``SAMPLE`` positives and twice as many unlabelled texts at most, chosen by a hash of the id: this is
-the only bound, and it concerns fitting alone.
+the only bound, and it concerns fitting alone. Every text is scored, whole.
 
-Defined results: a null or empty text has a score like any other; rows with a null id are scored but never learned from; with
-no positives or no unlabelled texts every score is the prior given (0.5 by default); repeated rows get equal scores; columns
-besides id and text are ignored by ``score`` and kept by ``keep``.
+Defined results: a null or empty text has a score like any other; rows with a null id are scored but never learned from, and of
+rows that share an id one is learned from; with no positives or no unlabelled texts every score is the prior given (0.5 by
+default); repeated rows get equal scores; an empty table gives an empty result; columns besides id and text are ignored by
+``score`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +24,21 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, map_texts, release, slices, text_rows
+from .common import compact, done_with, map_texts, text_rows
+from .row_lists import FILE, ROW, numbered, save, stored, without
 
 #: Positives that the model is fitted on at most; unlabelled texts: twice as many.
 SAMPLE = 4_000
 
-FEATURES = ["log_words", "word_length", "upper", "digits", "symbols", "bars", "marks", "stops", "commas", "echoes", "distinct", "repeats", "line_words", "non_ascii", "long_words", "any_symbols", "any_bars", "any_upper", "any_echoes"]
+FEATURES = ["log_words", "word_length", "upper", "digits", "symbols", "bars", "marks", "stops", "commas", "echoes", "distinct", "repeats", "line_words", "non_ascii", "long_words"]
+#: Places for n-grams of words and for those of bytes (a power of two: the first bits of a hash), and their weight.
+GRAMS, GRAM_WEIGHT = 256, 0.1
+#: Words whose hashes a worker remembers.
+_WORDS = 300_000
 _RUN = 5
 
 
@@ -73,30 +80,85 @@ def features(texts: list[bytes]) -> np.ndarray:
         np.log1p(n), np.minimum(_share(np.bincount(doc, lengths, len(texts)), n), 20), _share(upper, upper + lower), _share(count(b"0123456789"), size), _share(symbols, n), _share(bars, n), _share(marks, n),
         _share(count(b"."), n), _share(count(b","), n), _share(echo, n), _share(distinct, np.maximum(n, 1) ** 0.8), _share(repeats, n), np.log1p(_share(n, lines)), _share(count(bytes(range(128, 256))), size), _share(within(lengths > 16), n),
     ])
-    # Where a kind of junk fills a part of a text only, its share is small but never that small on clean texts.
-    steps = np.column_stack([np.minimum(_share(symbols, n) / 0.1, 1), np.minimum(_share(bars, n) / 0.05, 1), np.minimum(_share(upper, upper + lower) / 0.4, 1), np.minimum(_share(echo, n) / 0.2, 1)])
-    return np.nan_to_num(np.column_stack([x, steps]), posinf=0.0, neginf=0.0)
+    return np.nan_to_num(x, posinf=0.0, neginf=0.0)
+
+
+class _Hashes(dict):
+    """A hash of 32 bits for each word, the same in every process."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh32_intdigest(word)
+        return found
+
+
+_HASHES = _Hashes()
+_SHIFT = np.uint32(33 - GRAMS.bit_length())
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """The first bits of a multiplicative hash."""
+    return ((x * np.uint32(0x9E3779B1)) >> _SHIFT).astype(np.int64)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Square roots of shares of a row, in 255 steps."""
+    return np.rint(255 * np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))).astype(np.uint8)
+
+
+def grams(texts: list[bytes]) -> np.ndarray:
+    """For each text ``2 * GRAMS`` numbers from 0 to 255: words and word pairs, then runs of three bytes."""
+    if len(_HASHES) > _WORDS:
+        _HASHES.clear()
+    split, size = [t.split() for t in texts], (len(texts), GRAMS)
+    n = np.fromiter(map(len, split), np.int64, len(texts))
+    hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(split)), np.uint32, int(n.sum()))
+    doc = np.repeat(np.arange(len(texts)), n) * GRAMS
+    inside = doc[1:] == doc[:-1]
+    pairs = (hashes[1:] * np.uint32(0x85EBCA6B) ^ hashes[:-1])[inside]
+    at = np.concatenate([doc + _places(hashes), doc[1:][inside] + _places(pairs)])
+    words = np.bincount(at, minlength=len(texts) * GRAMS).reshape(size)
+    runs = np.zeros(size, np.int64)
+    for k, t in enumerate(texts):
+        if len(t) > 2:
+            b = np.frombuffer(t, np.uint8).astype(np.uint32)
+            runs[k] = np.bincount(_places(b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]), minlength=GRAMS)
+    return np.hstack([_shares(words), _shares(runs)])
+
+
+def vectors(texts: list[bytes]) -> np.ndarray:
+    """``FEATURES`` and n-grams, one row for each text."""
+    return np.hstack([features(texts).astype(np.float32), grams(texts).astype(np.float32)])
+
+
+WEIGHTS = np.concatenate([np.ones(len(FEATURES)), np.full(2 * GRAMS, GRAM_WEIGHT)])
 
 
 class PuModel:
-    """A linear model on standardised features, fitted to the non-negative risk with the logistic loss."""
+    """A linear model on standardised features times ``weights``, fitted to the non-negative risk with the logistic loss."""
 
-    def __init__(self, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7):
-        self.steps, self.rate, self.decay, self.seed = steps, rate, decay, seed
-        self.mean, self.scale = np.zeros(len(FEATURES)), np.ones(len(FEATURES))
-        self.w, self.b, self.prior = np.zeros(len(FEATURES)), 0.0, 0.5
+    def __init__(self, weights: np.ndarray = WEIGHTS, steps: int = 300, rate: float = 0.05, decay: float = 1e-3):
+        self.weights, self.steps, self.rate, self.decay = weights, steps, rate, decay
+        self.mean, self.scale = np.zeros(len(weights)), np.ones(len(weights))
+        self.w, self.b, self.prior = np.zeros(len(weights)), 0.0, 0.5
+
+    def _standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) * self.weights
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.w + self.b
+        """Row by row, so that equal rows have equal logits in whatever company."""
+        return (self._standard(x) * self.w).sum(1) + self.b
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(x), -700, 700)))
 
     def _descend(self, gradient) -> None:
         """Adam over (w, b)."""
-        theta, m, v = np.zeros(len(self.mean) + 1), 0.0, 0.0
+        theta, m, v = np.zeros(len(self.mean) + 1, np.float32), 0.0, 0.0
         for t in range(1, self.steps + 1):
             g = gradient(theta) + self.decay * np.append(theta[:-1], 0)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta = theta - self.rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.w, self.b = theta[:-1], float(theta[-1])
+            theta = (theta - self.rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        self.w, self.b = theta[:-1].astype(float), float(theta[-1])
 
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> PuModel:
         if not len(positive) or not len(unlabelled):
@@ -104,7 +166,7 @@ class PuModel:
             self.b = float(np.log(self.prior / (1 - self.prior)))
             return self
         self.mean, self.scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-6)
-        z = lambda x: np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
+        z = lambda x: np.column_stack([self._standard(x), np.ones(len(x))]).astype(np.float32)
         p, u = z(positive), z(unlabelled)
         sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -30, 30)))
         softplus = lambda a: np.logaddexp(0, a)
@@ -143,53 +205,44 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(ids, texts):
-        x = features(texts)
-        return {"doc_id": ids, **{f: x[:, k] for k, f in enumerate(FEATURES)}}
+def _drawn(ids: DataFrame, n: int, salt: int) -> list[int]:
+    """``n`` of the ids at most, by a hash. The hash keeps somewhat more than that in all, so that few come from each task; its order settles which."""
+    place = F.xxhash64("doc_id", F.lit(salt))
+    share = min(1.0, 1.5 * n / max(ids.count(), 1))
+    chosen = ids.filter(F.shiftrightunsigned(place, 2) < int(share * 2**62)) if share < 1 else ids
+    return [r[0] for r in chosen.distinct().orderBy(place, "doc_id").limit(n).collect()]
 
-    return map_texts(text_rows(df, id_col, text_col), run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> PuModel:
+    """Learns from rows of ``df``: positives are those with label 1 that aren't held out, unlabelled are any that aren't held out. Only ids are looked through, and the texts of the sample are read."""
+    spark, key = df.sparkSession, F.col("doc_id")
+    usable = lambda t: t.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).filter(key.isNotNull() & ~held_out(key))
+    positive, unlabelled = set(_drawn(usable(labels.filter(F.col(label_col) == 1)), sample, 1)), set(_drawn(usable(df), 2 * sample, 2))
+    chosen = spark.createDataFrame([(i,) for i in sorted(positive | unlabelled)], "doc_id long")
 
-def fit(vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> PuModel:
-    """Learns from rows of ``vectors``: positives are those with label 1 that aren't held out, unlabelled are any that aren't held out."""
-    usable = vectors.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    trusted = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-
-    def drawn(rows: DataFrame, n: int, salt: int) -> np.ndarray:
-        # A hash keeps somewhat more than n rows in all, so that few come from each task; the order by the same hash settles which.
-        place = F.xxhash64("doc_id", F.lit(salt))
-        share = min(1.0, 1.5 * n / max(rows.count(), 1))
-        chosen = rows.filter(F.shiftrightunsigned(place, 2) < int(share * 2**62)) if share < 1 else rows
-        found = chosen.orderBy(place, *FEATURES).limit(n).select(*FEATURES).toPandas()
-        return found.to_numpy(float).reshape(len(found), len(FEATURES))
+    def run(ids, texts):
+        return {"doc_id": ids, "vector": [v.tobytes() for v in vectors(texts)]}
 
-    return PuModel().fit(drawn(usable.join(trusted, "doc_id", "left_semi"), sample, 1), drawn(usable, 2 * sample, 2), prior)
+    rows = text_rows(df, id_col, text_col).join(F.broadcast(chosen), "doc_id", "left_semi")
+    found = compact(map_texts(rows, run, "doc_id long, vector binary"), "quality-vectors")
+    read = sorted(found.groupBy("doc_id").agg(F.min("vector").alias("vector")).collect())
+    done_with(found)
+    of = lambda some: np.array([np.frombuffer(v, np.float32) for i, v in read if i in some], float).reshape(-1, len(WEIGHTS))
+    return PuModel().fit(of(positive), of(unlabelled), prior)
 
 
-def _score(model: PuModel, get=F.col) -> Column:
-    parts = [F.greatest(F.least((get(f) - float(m)) / float(s), F.lit(8.0)), F.lit(-8.0)) * float(w) for f, m, s, w in zip(FEATURES, model.mean, model.scale, model.w)]
-    return 1 / (1 + F.exp(-sum(parts, F.lit(model.b))))
+def _scored(model: PuModel, rows: DataFrame) -> DataFrame:
+    return map_texts(rows, lambda ids, texts: {"doc_id": ids, "score": model.scores(vectors(texts))}, "doc_id long, score double")
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    vectors = compact(_vectors(df, id_col, text_col), "quality-vectors")
-    model = fit(vectors, labels)
-    return vectors.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _score(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = _scored(fit(df, labels, id_col, text_col), text_rows(df, id_col, text_col))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``df`` that the model takes for good, with all their columns; texts are read twice and not shuffled."""
-    model = fit(compact(_vectors(df, id_col, text_col), "quality-vectors"), labels)
-
-    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
-    def vector(texts: pd.Series) -> pd.DataFrame:
-        release()
-        parts = [features(t) for _, t in slices(list(range(len(texts))), texts.tolist())]
-        return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(FEATURES))), columns=FEATURES)
-
-    get = lambda f: F.col("__vector")[f]
-    # "Nondeterministic" keeps the optimizer from running the function a second time, for the filter.
-    kept = df.withColumn("__vector", vector.asNondeterministic()(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    return kept.filter(_score(model, get) >= threshold).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that the model takes for good, with all their columns. Texts are scored once; then they move from the scan to the output, past a list of the rows that go."""
+    table = numbered(stored(df))
+    scored = _scored(fit(table, labels, id_col, text_col), text_rows(table, id_col, text_col, (FILE, ROW)))
+    return without(table, save(scored.filter(F.col("score") < threshold).select(FILE, ROW)))

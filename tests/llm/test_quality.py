@@ -146,13 +146,43 @@ def test_classifier_bears_hard_rows(spark, docs, empty):
 def test_prior_of_separable_data():
     rng = np.random.default_rng(1)
     k = len(qc.FEATURES)
+    flat = np.ones(k)
     p = rng.normal(2, 1, (2000, k))
     u = np.concatenate([rng.normal(2, 1, (3200, k)), rng.normal(-2, 1, (800, k))])[rng.permutation(4000)]
-    m = qc.PuModel().fit(p, u)
+    m = qc.PuModel(flat).fit(p, u)
     assert abs(m.prior - 0.8) < 0.05
     assert (m.logits(rng.normal(-2, 1, (200, k))) < 0).mean() > 0.95 and (m.logits(rng.normal(2, 1, (200, k))) > 0).mean() > 0.95
 
 
 @pytest.mark.parametrize("texts", [[b""], [b"", b" "], [b"one"], [b"\xff\xfe"], [b"a " * 10000]])
 def test_features_are_finite(texts):
-    assert np.isfinite(qc.features(texts)).all() and qc.features(texts).shape == (len(texts), len(qc.FEATURES))
+    assert np.isfinite(qc.vectors(texts)).all() and qc.vectors(texts).shape == (len(texts), len(qc.WEIGHTS))
+
+
+def test_grams_equal_counts_by_hand():
+    """Shares of hashed words, pairs and runs of bytes, whatever else is in the batch."""
+    import xxhash
+
+    place = lambda x: (x * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - 8
+    texts = [b"a b a  b c", b"", b"ab", "é — ü".encode(), b"x" * 50, b"one\ntwo"]
+    got = qc.grams(texts)
+    for t, row in zip(texts, got):
+        h = [xxhash.xxh32_intdigest(w) for w in t.split()]
+        words = [place(x) for x in h] + [place((y * 0x85EBCA6B & 0xFFFFFFFF) ^ x) for x, y in zip(h, h[1:])]
+        runs = [place(t[i] << 16 | t[i + 1] << 8 | t[i + 2]) for i in range(len(t) - 2)]
+        want = [round(255 * (some.count(k) / max(len(some), 1)) ** 0.5) for some in (words, runs) for k in range(qc.GRAMS)]
+        assert row.tolist() == want
+    assert all((qc.grams([t])[0] == row).all() for t, row in zip(texts, got))
+
+
+def test_junk_that_only_the_words_show(spark):
+    """Two vocabularies with equal statistics: labels name the first one's texts, and the n-grams tell them from the rest."""
+    import random
+
+    rng = random.Random(4)
+    vocab = {k: ["".join(rng.sample("abcdefghij", 5)) for _ in range(60)] for k in (0, 1)}
+    kind = [int(rng.random() < 0.3) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocab[k]) for _ in range(60))) for i, k in enumerate(kind)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, k in enumerate(kind) if not k and i % 2], "doc_id long, quality int, toxic int")
+    rows = qc.score(docs, labels).collect()
+    assert np.mean([(r.score >= 0.5) == (kind[r.doc_id] == 0) for r in rows if r.held_out]) > 0.95
