@@ -34,10 +34,10 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import kept, map_texts, text_rows
+from .common import compact, kept, map_texts, text_rows
 
 #: Entries of a generation of a memo; two generations are kept.
-MEMO = 150_000
+MEMO = 100_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 40
 #: Characters of a block of text, and ids of a portion of a long run.
@@ -376,10 +376,10 @@ def digest(bpe: WordBpe, text: str) -> tuple[int, str, str]:
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of tokens and SHA-256 of ids and of the text decoded from them; nothing longer leaves the worker."""
+    """Per row: number of tokens and SHA-256 of ids and of the text decoded from them; nothing longer leaves the worker. The digests are written to the shared folder, with small batches of texts."""
 
     def run(ids, texts, bpe):
         n, a, b = zip(*(digest(bpe, t.decode("utf-8", "replace")) for t in texts))
         return {"doc_id": ids, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
-    return map_texts(text_rows(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: loaded(path))
+    return compact(map_texts(text_rows(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: loaded(path)), "token-digests")

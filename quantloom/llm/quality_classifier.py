@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, done_with, map_texts, text_rows
+from .common import compact, done_with, kept, map_texts, text_rows
 from .row_lists import FILE, ROW, numbered, save, stored, without
 
 #: Positives that the model is fitted on at most; unlabelled texts: twice as many.
@@ -38,7 +38,7 @@ FEATURES = ["log_words", "word_length", "upper", "digits", "symbols", "bars", "m
 #: Places for n-grams of words and for those of bytes (a power of two: the first bits of a hash), and their weight.
 GRAMS, GRAM_WEIGHT = 256, 0.1
 #: Words whose hashes a worker remembers.
-_WORDS = 300_000
+_WORDS = 100_000
 _RUN = 5
 
 
@@ -91,7 +91,11 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()
+def _known() -> _Hashes:
+    """A worker keeps them from task to task while it works for this operator."""
+    return kept("word-hashes", _Hashes)
+
+
 _SHIFT = np.uint32(33 - GRAMS.bit_length())
 
 
@@ -107,11 +111,12 @@ def _shares(counts: np.ndarray) -> np.ndarray:
 
 def grams(texts: list[bytes]) -> np.ndarray:
     """For each text ``2 * GRAMS`` numbers from 0 to 255: words and word pairs, then runs of three bytes."""
-    if len(_HASHES) > _WORDS:
-        _HASHES.clear()
+    known = _known()
+    if len(known) > _WORDS:
+        known.clear()
     split, size = [t.split() for t in texts], (len(texts), GRAMS)
     n = np.fromiter(map(len, split), np.int64, len(texts))
-    hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(split)), np.uint32, int(n.sum()))
+    hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint32, int(n.sum()))
     doc = np.repeat(np.arange(len(texts)), n) * GRAMS
     inside = doc[1:] == doc[:-1]
     pairs = (hashes[1:] * np.uint32(0x85EBCA6B) ^ hashes[:-1])[inside]
@@ -220,11 +225,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     positive, unlabelled = set(_drawn(usable(labels.filter(F.col(label_col) == 1)), sample, 1)), set(_drawn(usable(df), 2 * sample, 2))
     chosen = spark.createDataFrame([(i,) for i in sorted(positive | unlabelled)], "doc_id long")
 
-    def run(ids, texts):
+    def run(ids, texts, _):
         return {"doc_id": ids, "vector": [v.tobytes() for v in vectors(texts)]}
 
     rows = text_rows(df, id_col, text_col).join(F.broadcast(chosen), "doc_id", "left_semi")
-    found = compact(map_texts(rows, run, "doc_id long, vector binary"), "quality-vectors")
+    found = compact(map_texts(rows, run, "doc_id long, vector binary", _known), "quality-vectors")
     read = sorted(found.groupBy("doc_id").agg(F.min("vector").alias("vector")).collect())
     done_with(found)
     of = lambda some: np.array([np.frombuffer(v, np.float32) for i, v in read if i in some], float).reshape(-1, len(WEIGHTS))
@@ -232,12 +237,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _scored(model: PuModel, rows: DataFrame) -> DataFrame:
-    return map_texts(rows, lambda ids, texts: {"doc_id": ids, "score": model.scores(vectors(texts))}, "doc_id long, score double")
+    return map_texts(rows, lambda ids, texts, _: {"doc_id": ids, "score": model.scores(vectors(texts))}, "doc_id long, score double", _known)
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    scored = _scored(fit(df, labels, id_col, text_col), text_rows(df, id_col, text_col))
+    scored = compact(_scored(fit(df, labels, id_col, text_col), text_rows(df, id_col, text_col)), "quality-scores")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
