@@ -1,12 +1,17 @@
 """Licence scans with a generalised suffix automaton of licence tokens.
 
 The automaton holds every licence template as a sequence of words. A text is streamed through it, which gives matching
-statistics: for each word the longest run ending there that occurs in some template. Runs that can't be extended and are
-long enough are chained, per template, in the order of text and template; a chain that covers enough of the template is
-a found span.
+statistics: for each word the longest run ending there that occurs in some template, and by suffix links the longest for each
+place of each template. Runs that can't be extended and are long enough are chained, per template, in the order of text and template; a chain that covers enough of the template is
+a found span. Templates are whole licences, their paragraphs, notices and tags (``license_texts``, ``TEMPLATES``).
 
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows give repeated results; a null id
-stays null; columns other than the two that are named are ignored.
+A chain must cover 0.6 of a long template and 0.9 of a notice of fewer than a dozen words, and have a run that only one
+licence has or that is too long for a stock phrase ("licensed under the"). Of spans that overlap, whatever their labels, the
+one that covers most words, less half of those it lacks, stays: the same paragraph is in many licences.
+
+Defined results: a null or empty text has no words, no labels and score 0; texts of any length are scanned whole; repeated rows
+give repeated results; a null id stays null; an empty table gives an empty result; columns other than the two that are named
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts, text_rows
+from .license_texts import templates as licenses
 
 #: Phrases whose places are always reported, and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -28,6 +34,7 @@ TEMPLATES = [
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license 2 0"),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl-3.0", "licensed under the gnu general public license version 3"),
     ("gpl-2.0", "licensed under the gnu general public license version 2"),
@@ -115,13 +122,18 @@ class SuffixAutomaton:
 class LicenseScanner:
     """Built once per task from the templates, whose number is fixed."""
 
-    def __init__(self, templates=None, phrases=None, min_match: int = 3, min_coverage: float = 0.6, max_gap: int = 12):
-        self.templates = [(label, words_of(t.encode())) for label, t in (TEMPLATES if templates is None else templates)]
+    def __init__(self, templates=None, phrases=None, min_match: int = 3, min_coverage: float = 0.6, max_gap: int = 12, short: int = 12, short_coverage: float = 0.9, long_run: int = 8):
+        known: dict[tuple[bytes, ...], str] = {}
+        for label, t in TEMPLATES + licenses() if templates is None else templates:
+            known.setdefault(tuple(words_of(t.encode())), label)
+        self.templates = [(label, list(t)) for t, label in known.items()]
+        self.short, self.short_coverage, self.long_run = short, short_coverage, long_run
         self.phrases = [(label, words_of(p.encode())) for p, label in (BASE_PHRASES if phrases is None else phrases).items()]
         self.min_match, self.min_coverage, self.max_gap = min_match, min_coverage, max_gap
         self.ids: dict[bytes, int] = {}
         number = lambda ws: [self.ids.setdefault(w, len(self.ids) + 1) for w in ws]
-        known = [number(t) for _, t in self.templates]
+        known = self.sequences = [number(t) for _, t in self.templates]
+        self.broken: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = {}
         base = [number(p) for _, p in self.phrases]
         self.automaton = SuffixAutomaton(known + base)
         self.base_at: dict[int, list[tuple[int, int]]] = {}  #: state -> (phrase, its words) that its strings end with, if as long
@@ -139,11 +151,17 @@ class LicenseScanner:
             if found:
                 self.base_at[v] = found
         size = len(self.ids) + 1
-        self.pairs = np.zeros(size * size, bool)
+        self.pairs, self.base_pairs = np.zeros(size * size, bool), np.zeros(size * size, bool)
         for seq in known + base:
             for a, b in zip(seq, seq[1:]):
                 self.pairs[a * size + b] = True
+        for a, b in (seq for seq in base if len(seq) == 2):
+            self.base_pairs[a * size + b] = True
         self.size = size
+        labels = [{self.templates[k][0] for k, _ in ends if k < len(self.templates)} for ends in self.automaton.ends]
+        self.own = [len(x) == 1 for x in labels]  #: per state: whether one licence alone has its strings
+        if min_match < 3:
+            raise ValueError("a match has three words at least")
         if min(map(len, base), default=2) < 2:
             raise ValueError("a phrase has two words at least")
 
@@ -158,8 +176,10 @@ class LicenseScanner:
         out = [{"n_words": n, "base": [], "segments": []} for n in counts]
         starts = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])
         ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
-        # Matching statistics under two need no walk: only pairs of words that some template has begin or go on with a match of two.
-        at = np.flatnonzero(self.pairs[ids[:-1] * self.size + ids[1:]])
+        # Matches of three words or more are runs of two pairs or more that some template has; a pair alone can only be a base phrase.
+        pair = ids[:-1] * self.size + ids[1:]
+        hit = np.concatenate([[False], self.pairs[pair], [False]])
+        at = np.flatnonzero(hit[1:-1] & (hit[:-2] | hit[2:] | self.base_pairs[pair]))
         for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
             first, last = int(run[0]), int(run[-1]) + 1
             doc = int(np.searchsorted(starts, first, "right")) - 1
@@ -172,51 +192,83 @@ class LicenseScanner:
         state = matched = 0
         sa = self.automaton
         for i, c in enumerate(ids):
-            before, before_len = state, matched
+            if matched >= self.min_match:
+                self._end(state, matched, c, offset + i, into)
             state, matched = sa.step(state, matched, c)
-            if before_len >= self.min_match and matched != before_len + 1:
-                into["segments"].append((offset + i - before_len, before_len, before))
             for phrase, n in self.base_at.get(state, ()):
                 if n <= matched:
                     into["base"].append((phrase, offset + i - n + 1))
         if matched >= self.min_match:
-            into["segments"].append((offset + len(ids) - matched, matched, state))
-
-    def _chains(self, segments: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """All chains that cover enough of a template, best first; of those of one label that overlap, the best."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for start, n, state in segments:
-            for k, end in self.automaton.ends[state]:
-                if k < len(self.templates):
-                    by.setdefault(k, []).append((start, end - n + 1, n))
-        found: dict[str, list[tuple[str, int, int, float]]] = {}
+            self._end(state, matched, 0, offset + len(ids), into)
+
+    def _end(self, state: int, matched: int, c: int, at: int, into: dict) -> None:
+        """Adds the matches that end before word ``at`` of the text, whose number is ``c``: start in the text, start in the template, words, template, whether only one licence has them."""
+        key = state, c
+        if key not in self.broken:
+            self.broken[key] = self._breaks(state, c)
+        for k, end, n, own in self.broken[key]:
+            n = n or matched
+            into["segments"].append((at - n, end - n + 1, n, k, own))
+
+    def _breaks(self, state: int, c: int) -> list[tuple[int, int, int, bool]]:
+        """Places in templates where what is matched ends and doesn't go on with ``c``: template, last word, words (0: all that is matched), whether only one licence has them.
+
+        The places of a state have all that is matched before them, those of its suffix links only as much as these hold.
+        """
+        out, seen, u, sa = [], set(), state, self.automaton
+        while u > 0 and (u == state or sa.length[u] >= self.min_match):
+            for place in sa.ends[u]:
+                k, end = place
+                if place not in seen and k < len(self.templates):
+                    seen.add(place)
+                    seq = self.sequences[k]
+                    if end + 1 == len(seq) or seq[end + 1] != c:
+                        out.append((k, end, 0 if u == state else sa.length[u], self.own[u]))
+            u = sa.link[u]
+        return out
+
+    def least(self, size: int) -> float:
+        """Words of a template of so many that a chain must cover."""
+        return size * (self.short_coverage if size < self.short else self.min_coverage)
+
+    def _chains(self, segments: list[tuple[int, int, int, int, bool]]) -> list[tuple[str, int, int, float]]:
+        """All chains that cover enough of a template and have a run that tells; of those that overlap, the one with most words covered, less half of those it lacks."""
+        by: dict[int, list[tuple[int, int, int, bool]]] = {}
+        for start, t, n, k, own in segments:
+            by.setdefault(k, []).append((start, t, n, own or n >= self.long_run or n == len(self.sequences[k])))
+        found = []
         for k, parts in by.items():
             label, template = self.templates[k]
+            if sum(x[2] for x in parts) < self.least(len(template)) or not any(x[3] for x in parts):
+                continue
             todo = [sorted(parts)]
             while todo:
                 some = todo.pop()
-                taken = _apart([(cov, s, e) for cov, s, e, _ in self._chained(some, len(template)) if min(1.0, cov / len(template)) >= self.min_coverage], lambda x: (-x[0], x[1]))
-                found.setdefault(label, []).extend((label, s, e, min(1.0, cov / len(template))) for cov, s, e in taken)
+                taken = _apart([(cov, s, e) for cov, s, e, told in self.chained(some, len(template)) if told and cov >= self.least(len(template))], lambda x: (-x[0], x[1]))
+                found.extend((label, s, e, min(1.0, cov / len(template)), cov - (len(template) - cov) / 2) for cov, s, e in taken)
                 # What lies between the chains taken may hold others that began in one of them.
                 cuts = [0, *(x for _, s, e in sorted(taken, key=lambda x: x[1]) for x in (s, e)), float("inf")]
                 gaps = [[x for x in some if lo <= x[0] and x[0] + x[2] <= hi] for lo, hi in zip(cuts[::2], cuts[1::2])] if taken else []
                 todo += [g for g in gaps if g]
-        return sorted(x for spans in found.values() for x in _apart(spans, lambda x: (-x[3], x[1] - x[2], x[1])))
+        return sorted(x[:4] for x in _apart(found, lambda x: (-x[4], -x[3], x[1] - x[2], x[1], x[0])))
+
+    def chained(self, parts: list[tuple[int, int, int, bool]], size: int) -> list[tuple[int, int, int, bool]]:
+        """For each match (start in text, start in template, words, whether it tells), the best chain that ends with it: covered words, start and end in the text, whether one of its matches tells.
 
-    def _chained(self, parts: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
-        """For each match, the best chain that ends with it: matches in the order of text and template, at most ``max_gap`` words apart."""
-        chains: list[tuple[int, int, int, int]] = []  # covered words, start, end in the text, end in the template
+        Matches follow each other in text and template, at most ``max_gap`` words apart in both; words that two of them share count once.
+        """
+        chains: list[tuple[int, int, int, int, bool]] = []  # covered words, start, end in the text, end in the template, tells
         recent = 0
-        for start, t, n in parts:
+        for start, t, n, tells in parts:
             while recent < len(chains) and parts[recent][0] + parts[recent][2] + self.max_gap + size < start:
                 recent += 1
-            cov, first = n, start
-            for c, s, e, te in chains[recent:]:
-                cut = max(0, e - start, te - t)  # overlapping words count once
-                if cut < n and start - e <= self.max_gap and t - te <= self.max_gap and s < start and c + n - cut > cov:
-                    cov, first = c + n - cut, s
-            chains.append((cov, first, start + n, t + n))
-        return chains
+            cov, first, told = n, start, tells
+            for c, s, e, te, before in chains[recent:]:
+                cut = max(0, e - start, te - t)
+                if cut < n and start - e <= self.max_gap and t - te <= self.max_gap and s < start and (c + n - cut, before or tells) > (cov, told):
+                    cov, first, told = c + n - cut, s, before or tells
+            chains.append((cov, first, start + n, t + n, told))
+        return [(c, s, e, told) for c, s, e, _, told in chains]
 
 
 def _apart(spans: list[tuple], rank) -> list[tuple]:

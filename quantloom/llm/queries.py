@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_stream, chat_format, decontaminate, license_scan, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, token_output
-from .common import documents, scratch_path, written
+from .common import compact, documents, scratch_path, written
 
 #: The end-of-document id of each use of the byte-level vocabulary.
 OUTPUT_END_ID, FLAT_END_ID = 2, 50256
@@ -56,7 +56,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_stream.digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return compact(bpe_stream.digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")), "token-digests")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from quantloom.llm.license_scan import BASE_PHRASES, TEMPLATES, LicenseScanner, SuffixAutomaton, scan_licenses, words_of
+from quantloom.llm.license_texts import LICENSES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -80,3 +81,89 @@ def test_every_copy_of_a_notice_has_a_span(filler):
     mine = [s for s in spans if s[0] == "isc"]
     assert len(mine) == 3 and all(a[2] <= b[1] for a, b in zip(mine, mine[1:])) and mine[0][3] == mine[1][3] == 1.0 > mine[2][3] >= 0.6
     assert other[0] in {s[0] for s in spans}
+
+
+SCANNER = LicenseScanner()
+
+
+def spans(text):
+    return SCANNER.scan([text.encode()])[0]["spans"]
+
+
+def test_stock_phrases_give_no_label():
+    for text in (
+        "music licensed under the rules", "she was released under the terms of the deal", "permission is hereby granted to nobody", "this is free and it is provided as is", "in no event shall the children be late",
+        "you may use the software and the license of the work, in whole or in part", "licensed under the gnu general public license version 5", "for any purpose with or without a fee",
+    ):
+        assert spans(text) == [], text
+
+
+@pytest.mark.parametrize("label,text", LICENSES)
+def test_whole_licences_and_their_paragraphs(label, text):
+    """A whole licence is one span of its own label; a paragraph alone has a span of a licence that holds it."""
+    n = len(words_of(text.encode()))
+    assert spans(f"before it {text} after it") == [(label, 2, 2 + n, 1.0)]
+    holders = lambda p: {k for k, t in LICENSES if words_of(p.encode()) == [w for w in words_of(t.encode())][: len(words_of(p.encode()))] or " ".join(map(bytes.decode, words_of(p.encode()))) in " ".join(map(bytes.decode, words_of(t.encode())))}
+    for p in text.split("\n\n"):
+        if len(p.split()) >= 12:
+            found = spans(f"prose {p} prose")
+            assert len(found) == 1 and found[0][3] == 1.0 and found[0][0] in holders(p) | {k for k, _ in TEMPLATES}
+
+
+def test_a_dozen_licences_are_whole():
+    assert sum(len(words_of(t.encode())) > 90 for _, t in LICENSES) >= 12 and len({k for k, _ in LICENSES}) >= 20
+
+
+def test_tags():
+    for tag, label in (("MIT", "mit"), ("MIT-0", "mit-0"), ("Apache-2.0", "apache-2.0"), ("GPL-3.0-or-later", "gpl-3.0"), ("LGPL-2.1-only", "lgpl-2.1"), ("CC-BY-SA-4.0", "cc-by-sa-4.0")):
+        assert [s[0] for s in spans(f"# SPDX-License-Identifier: {tag}\nimport os")] == [label]
+
+
+def test_files_one_after_another_keep_all_their_licences():
+    parts = [LICENSES[k] for k in (0, 6, 8, 0, 3)]
+    text = " some code between them ".join(t for _, t in parts)
+    assert [s[0] for s in sorted(spans(text), key=lambda s: s[1])] == [k for k, _ in parts]
+
+
+def best_chain(parts, max_gap):
+    """Most covered words of any chain of ``parts``, by all of their subsets."""
+    best = 0
+    for mask in range(1, 1 << len(parts)):
+        some = [p for k, p in enumerate(parts) if mask >> k & 1]
+        cov, ok = some[0][2], True
+        for (s, t, n, _), (s2, t2, n2, _) in zip(some, some[1:]):
+            cut = max(0, s + n - s2, t + n - t2)
+            ok &= cut < n2 and s2 - s - n <= max_gap and t2 - t - n <= max_gap and some[0][0] < s2
+            cov += n2 - cut
+        best = max(best, cov if ok else 0)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_chains_equal_all_subsets(seed):
+    """Random matches with gaps and overlaps: the best chain covers as much as the best of all subsets in order."""
+    rng = random.Random(seed)
+    parts = sorted({(rng.randint(0, 40), rng.randint(0, 40), rng.randint(3, 9), True) for _ in range(rng.randint(1, 8))})
+    assert max(c for c, *_ in SCANNER.chained(parts, 60)) == best_chain(parts, SCANNER.max_gap)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matches_equal_all_maximal_runs(seed):
+    """For every template, all runs of three words or more that it shares with the text and that go on to neither side."""
+    rng = random.Random(seed)
+    seqs = [[rng.choice("abcd") for _ in range(rng.randint(3, 14))] for _ in range(rng.randint(1, 5))]
+    scanner = LicenseScanner([(f"l{k}", " ".join(q)) for k, q in enumerate(seqs)], {"a b": "x"})
+    known = [[w.decode() for w in t] for _, t in scanner.templates]
+    text = [rng.choice("abcde") for _ in range(60)]
+    into = {"base": [], "segments": []}
+    scanner._walk([scanner.ids.get(w.encode(), 0) for w in text], 0, into)
+    want = set()
+    for k, q in enumerate(known):
+        for i in range(len(text)):
+            for j in range(len(q)):
+                if text[i] == q[j] and not (i and j and text[i - 1] == q[j - 1]):
+                    n = next((m for m in range(len(q)) if i + m == len(text) or j + m == len(q) or text[i + m] != q[j + m]), len(q) - j)
+                    if n >= 3:
+                        want.add((i, j, n, k))
+    got = [x[:4] for x in into["segments"]]
+    assert sorted(got) == sorted(want)
