@@ -6,7 +6,8 @@ cross blocks are stitched by a prefix scan over one small row per block: documen
 
 Defined results: ids after the last separator of a file are one unfinished document (``closed`` false); an empty file has
 none; a separator right after another is a document of one token (the separator counts); a null or empty text is written as
-a separator alone; repeated ids are rows of their own. The literal of the end-of-document token in a text is encoded as
+a separator alone; repeated ids are rows of their own; texts of any length are written whole; an empty table gives no documents;
+columns besides id and text are ignored, whatever their names. The literal of the end-of-document token in a text is encoded as
 ordinary characters; should the end id come from inside a text all the same, as with an end id that is no special token of
 the vocabulary, writing fails.
 """

@@ -30,11 +30,25 @@ def random_rows(seed):
 def test_round_trip(spark, seed):
     rows = random_rows(seed)
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"formatted": F.lit("x"), "example": F.lit(1)})
-    got = {r.conv_id: tuple(r)[1:5] for r in cf.digests(cf.format_conversations(df)).collect()}
-    want = {}
-    for c in {r[0] for r in rows}:
-        want[c] = digest([r[1:] for r in rows if r[0] == c])
-    assert got == want
+    found = cf.digests(cf.format_conversations(df)).collect()
+    got = {r.conv_id: tuple(r)[1:5] for r in found if r.conv_id is not None}
+    assert got == {c: digest([r[1:] for r in rows if r[0] == c]) for c in {r[0] for r in rows} - {None}}
+    # rows without an id are conversations of their own
+    assert sorted(tuple(r)[1:5] for r in found if r.conv_id is None) == sorted(digest([r[1:]]) for r in rows if r[0] is None)
+
+
+def test_long_conversation_and_rows_without_an_id(spark):
+    """A third of the rows in one conversation, a third without an id: the first is one conversation, the others are as many as they are rows."""
+    rows = [(7, t, "assistant" if t % 50 == 0 else "user", f"turn {t} </s>") for t in range(1500)] + [(None, t, "assistant", f"lost {t}") for t in range(1500)] + [(100 + t, 0, "user", "x") for t in range(1500)]
+    found = cf.digests(cf.format_conversations(spark.createDataFrame(rows, SCHEMA).repartition(8))).collect()
+    assert len(found) == 1 + 1500 + 1500 and sum(r.conv_id is None for r in found) == 1500
+    long = next(r for r in found if r.conv_id == 7)
+    assert tuple(long)[1:5] == digest([r[1:] for r in rows[:1500]])
+    c = duckdb.connect()
+    c.register("conversations", __import__("pandas").DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"}))
+    want = c.sql(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({cf.ORACLE_SQL}) q WHERE conv_id IS DISTINCT FROM -1").fetchall()
+    key = lambda t: tuple((x is not None, x) if x is not None else (False, 0) for x in t)
+    assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
 
 
 def test_examples(spark):

@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quantloom.llm import bpe_stream, token_counts, token_output
+from quantloom.llm import bpe_stream, queries, token_counts, token_output
 from quantloom.llm.common import fresh_path
 from quantloom.llm.piece_encoder import PieceEncoder
 
-from .conftest import VOCABULARIES
+from .conftest import SF, VOCABULARIES
 
 BYTES, WORDS = f"{VOCABULARIES}/byte_bpe_50k.json", f"{VOCABULARIES}/word_bpe_49k.json"
 ODD = list("abcdeABCÉéßÜΣσςİıſ́\xa0\x85\x1c\x1f\n\t\r     ''sdt.,!?<|>0123½²中あ한😀👍🏽‍​﻿̸` 　 ") + ["<|endoftext|>", "<|startoftext|>", "'ll", " the"]
@@ -179,15 +179,28 @@ def test_orc_filters_reach_the_scan(spark, sample):
 
 @pytest.mark.parametrize("block", [256, 1 << 20])
 def test_flat_files(spark, docs, sample, library, block):
-    """A separator inside a text would end a document, so that text is left out here."""
-    df = docs.filter("doc_id IS NULL OR doc_id <> 9").select("doc_id", "text").unionByName(sample.select("doc_id", "text").limit(20))
+    """Texts with the separator's literal, at starts, ends and in between, are among them; blocks of a few ids cut everywhere."""
+    mark = "<|endoftext|>"
+    odd = spark.createDataFrame([(50, mark), (51, mark + "start"), (52, f"end{mark}"), (53, f"a {mark} b {mark}{mark} c"), (54, "plain")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(odd).unionByName(sample.select("doc_id", "text"))
+    plain = Tokenizer.from_file(BYTES)
+    plain.encode_special_tokens = True
     path = fresh_path(spark, "flat")
     manifest = _stored(spark, token_counts.write_token_files(df, path, BYTES, 50256))
     found = token_counts.count_documents(token_counts.scan_blocks(token_counts.blocks(spark, path, manifest, block), path, 50256)).join(manifest, ["file", "position"]).collect()
-    want = sorted((-1 if g.doc_id is None else g.doc_id, len(library[BYTES].encode(g.text or "", add_special_tokens=False).ids) + 1) for g in df.collect())
+    want = sorted((-1 if g.doc_id is None else g.doc_id, len(plain.encode(g.text or "", add_special_tokens=False).ids) + 1) for g in df.collect())
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in found) == want and all(r.closed for r in found)
 
 
+def test_token_counts_of_the_whole_query_equal_the_library(spark, sample):
+    plain = Tokenizer.from_file(BYTES)
+    plain.encode_special_tokens = True
+    want = sorted((g.doc_id, len(plain.encode(g.text or "", add_special_tokens=False).ids) + 1, True) for g in sample.select("doc_id", "text").collect())
+    assert sorted(map(tuple, queries.op2_token_counts(spark, SF).collect())) == want
+    path = fresh_path(spark, "none")
+    assert token_counts.count_documents(token_counts.scan_blocks(token_counts.blocks(spark, path), path, 0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [256, 1 << 20])
 def test_flat_files_with_the_literal_of_the_end(spark, docs, block):
     """Row 9 holds the literal; it and the rows after it keep their own counts, and no position is left over."""
