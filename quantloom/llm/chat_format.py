@@ -37,14 +37,13 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     """One row per example: conv_id, example (from 0), n_turns, formatted, loss_start, loss_end (characters; the mask is 1 between them) and complete (it has all turns)."""
     role, text = F.coalesce(F.col(f"`{role_col}`"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     given = df.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), role.alias("role"), text.alias("text"))
-    parts = given.select("*", F.concat(F.lit(OPEN), escape(F.col("role"), True), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE)).alias("part"))
+    part = F.concat(F.lit(OPEN), escape(F.col("role"), True), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE))
     upto = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    named, alone = parts.filter(F.col("conv_id").isNotNull()), parts.filter(F.col("conv_id").isNull())
-    placed = named.withColumn("stop", F.sum(F.char_length("part")).over(upto)).unionByName(alone.withColumn("stop", F.char_length("part").cast("long")))
     # An end grows with every turn, so it gives the order.
-    turn = F.struct(F.col("stop").cast("int").alias("stop"), "part", F.char_length(escape(F.col("text"))).alias("size"), (F.col("role") == trainable).alias("loss"))
-    listed = placed.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    whole = listed.unionByName(placed.filter(F.col("conv_id").isNull()).select("conv_id", F.array(turn).alias("turns")))
+    turn = lambda stop: F.struct(stop.cast("int").alias("stop"), part.alias("part"), F.char_length(escape(F.col("text"))).alias("size"), (F.col("role") == trainable).alias("loss"))
+    ended = given.filter(F.col("conv_id").isNotNull()).withColumn("stop", F.sum(F.char_length(part)).over(upto))
+    listed = ended.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn(F.col("stop")))).alias("turns"))
+    whole = listed.unionByName(given.filter(F.col("conv_id").isNull()).select("conv_id", F.array(turn(F.char_length(part))).alias("turns")))
     texts = whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("full"), F.transform("turns", lambda t: t.dropFields("part")).alias("turns"))
     n = F.size("turns")
     marked = F.transform("turns", lambda t, i: F.struct((i + 1).alias("n_turns"), t["stop"].alias("stop"), t["size"].alias("size"), t["loss"].alias("loss"), (i + 1 == n).alias("complete")))
