@@ -43,7 +43,9 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     turn = lambda stop: F.struct(stop.cast("int").alias("stop"), part.alias("part"), F.char_length(escape(F.col("text"))).alias("size"), (F.col("role") == trainable).alias("loss"))
     ended = given.filter(F.col("conv_id").isNotNull()).withColumn("stop", F.sum(F.char_length(part)).over(upto))
     listed = ended.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn(F.col("stop")))).alias("turns"))
-    whole = listed.unionByName(given.filter(F.col("conv_id").isNull()).select("conv_id", F.array(turn(F.char_length(part))).alias("turns")))
+    # As a literal, the missing id lets the optimizer drop this side where only ids are asked for.
+    none = F.lit(None).cast(given.schema["conv_id"].dataType).alias("conv_id")
+    whole = listed.unionByName(given.filter(F.col("conv_id").isNull()).select(none, F.array(turn(F.char_length(part))).alias("turns")))
     texts = whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("full"), F.transform("turns", lambda t: t.dropFields("part")).alias("turns"))
     n = F.size("turns")
     marked = F.transform("turns", lambda t, i: F.struct((i + 1).alias("n_turns"), t["stop"].alias("stop"), t["size"].alias("size"), t["loss"].alias("loss"), (i + 1 == n).alias("complete")))
