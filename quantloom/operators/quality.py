@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.windows import SYMBOL, TIMESTAMP, add, change, keys, require, whole, with_series_stats
 
 PRICES = ("open", "high", "low", "close")
+#: Entries of a list of gaps or jumps that comes to the driver; the DataFrames behind them are whole.
+MOST = 100_000
 
 
 def business_day_gaps(df: DataFrame, timestamp_col: str = TIMESTAMP) -> DataFrame:
@@ -27,11 +29,11 @@ def business_day_gaps(df: DataFrame, timestamp_col: str = TIMESTAMP) -> DataFram
 
 
 def detect_gaps(df: DataFrame, freq: str = "1bd", timestamp_col: str = TIMESTAMP) -> list[str] | dict[str, list[str]]:
-    """Missing business days as text: a list, or lists by symbol if there are several symbols."""
+    """Missing business days as text: a list, or lists by symbol if there are several symbols. The first ``MOST`` days; ``business_day_gaps`` has all as a DataFrame."""
     if freq != "1bd":
         raise ValueError("only freq='1bd' is known")
     require(df, timestamp_col)
-    found = business_day_gaps(df, timestamp_col).collect()
+    found = business_day_gaps(df, timestamp_col).orderBy("day", *keys(df)).limit(MOST).collect()
     if SYMBOL not in df.columns:
         return sorted(str(r["day"]) for r in found)
     symbols = [r[0] for r in df.select(SYMBOL).distinct().collect()]
@@ -97,7 +99,7 @@ def completeness_report(df: DataFrame) -> dict[str, Any]:
     gaps = detect_gaps(df) if TIMESTAMP in df.columns else []
     nulls = {c: int(row[f"nulls_{c}"]) for c in df.columns}
     return {
-        "rows": int(row["rows"]), "columns": len(df.columns), "date_gaps": gaps, "date_gap_count": sum(map(len, gaps.values())) if isinstance(gaps, dict) else len(gaps),
+        "rows": int(row["rows"]), "columns": len(df.columns), "date_gaps": gaps, "date_gap_count": business_day_gaps(df).count() if TIMESTAMP in df.columns else 0,
         "duplicate_rows": duplicate_rows(df), "zero_volume_days": int(row["zero_volume_days"]), "null_counts": nulls, "null_pct": {c: 100.0 * n / row["rows"] if row["rows"] else 0.0 for c, n in nulls.items()},
         "outlier_counts": {f"{c}_outlier": int(row[f"outliers_{c}"]) for c in PRICES if c in df.columns}, "suspected_split_count": int(row["suspected_split_count"]),
     }

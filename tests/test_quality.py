@@ -62,7 +62,7 @@ def test_profile(spark, bars):
     assert p.distribution.returns_skewness == pytest.approx((m**3).mean() / (m**2).mean() ** 1.5)
     assert p.distribution.tail_ratio == pytest.approx(abs(np.quantile(rets, 0.95) / np.quantile(rets, 0.05)))
     text = profiler.profile_summary(bars)
-    assert text.startswith("DATA PROFILE | 240 rows x 7 columns") and "Symbols: AAA, BBB" in text and "Tail ratio" in text
+    assert text.startswith("profile of 240 rows by 7 columns") and "symbols AAA, BBB" in text and "upper to lower tail" in text
 
 
 def test_profile_of_little(spark, closes):
@@ -70,4 +70,4 @@ def test_profile_of_little(spark, closes):
     assert flat.distribution == profiler.DistributionReport() and flat.column_stats["close"].skewness == 0.0
     none = profiler.profile(spark.createDataFrame([], "timestamp date, close double"))
     assert none.shape == (0, 2) and none.quality.missing_dates == [] and none.column_stats["close"].mean is None
-    assert "No issues" in profiler.profile_summary(closes([5.0]))
+    assert "faults: none" in profiler.profile_summary(closes([5.0]))
