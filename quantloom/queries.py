@@ -94,6 +94,7 @@ QUERIES["load_parquet"] = _load
 ORACLES["load_parquet"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000"
 # The whole file, every row and column.
 QUERIES["load_parquet_all"] = lambda spark, sf_dir: load(spark, f"{sf_dir}/orders.parquet")
+ORACLES["load_parquet_all"] = "SELECT * FROM orders"
 
 QUERIES["event_bars"] = lambda spark, sf_dir: event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 ORACLES["event_bars"] = f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({HOURS}) q"
@@ -472,3 +473,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = joined_sql("returns", "sma", "rsi", columns=["returns_1d", "sma_20", "rsi_14"])
+
+from . import service_queries  # noqa: E402, F401  (adds its own to QUERIES and ORACLES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import Path
 
@@ -17,6 +18,10 @@ from .remote import fetch_ticker, set_fetcher
 __all__ = ["load", "load_local", "cache_clear", "cache_get", "cache_put", "fetch_ticker", "set_fetcher", "is_file_path"]
 
 
+#: Tickers that are fetched at the same time.
+FETCHES = 8
+
+
 def is_file_path(source: str) -> bool:
     """A path has a slash or the suffix of a file that can be read; a dot alone doesn't make one."""
     return "/" in source or "\\" in source or suffix(source) in READERS
@@ -58,13 +63,17 @@ def _ticker(spark: SparkSession, symbol: str, start, end, interval: str, use_cac
 
 
 def _tickers(spark: SparkSession, symbols: list[str], start, end, interval: str, use_cache: bool) -> DataFrame:
-    """Symbols that can't be had are left out; if none can, that is an error."""
-    parts, failed = [], []
-    for s in symbols:
+    """Symbols that can't be had are left out; if none can, that is an error. Several are fetched at a time; rows are in no order."""
+
+    def one(symbol: str) -> DataFrame | ValueError:
         try:
-            parts.append(_ticker(spark, s, start, end, interval, use_cache))
+            return _ticker(spark, symbol, start, end, interval, use_cache)
         except ValueError as e:
-            failed.append(f"{s}: {e}")
+            return e
+
+    with ThreadPoolExecutor(min(FETCHES, max(len(symbols), 1))) as pool:
+        found = list(pool.map(one, symbols))
+    parts = [x for x in found if isinstance(x, DataFrame)]
     if not parts:
-        raise ValueError("no data for any symbol: " + "; ".join(failed))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy("timestamp", "symbol")
+        raise ValueError("no data for any symbol: " + "; ".join(f"{s}: {e}" for s, e in zip(symbols, found)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -98,6 +98,25 @@ def test_tools(spark, bars):
             langchain_tools(spark)
 
 
+def test_langchain_tools_with_a_stub(spark, bars, monkeypatch):
+    """The library is replaced by a stub that keeps what it is given."""
+    import sys
+    import types
+
+    class StructuredTool:
+        @classmethod
+        def from_function(cls, **kept):
+            return types.SimpleNamespace(**kept)
+
+    stub = types.ModuleType("langchain_core.tools")
+    stub.StructuredTool = StructuredTool
+    monkeypatch.setitem(sys.modules, "langchain_core", types.ModuleType("langchain_core"))
+    monkeypatch.setitem(sys.modules, "langchain_core.tools", stub)
+    made = {t.name: t for t in langchain_tools(spark, ["AAA"], lambda spark, source, start=None, end=None: bars.filter(bars["symbol"] == source))}
+    assert len(made) == 8 and "compare_symbols" not in made and made["lookup_price"].args_schema["required"] == ["symbol"]
+    assert len(made["lookup_price"].func(symbol="AAA").splitlines()) == 11 and "Known symbols: AAA" in made["profile_stock"].description
+
+
 def test_streamed_bars(spark, tmp_path):
     t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
     parts = [[("a", t(0, 5), 1.0), ("a", t(0, 50), 3.0), ("b", t(0, 10), 7.0)], [("a", t(1, 1), 2.0), ("a", t(5, 0), 9.0)], [("a", t(5, 30), 9.0)], [("a", t(0, 20), 100.0), ("b", t(9, 0), 1.0)], [("a", t(12, 0), 1.0)]]

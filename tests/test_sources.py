@@ -90,7 +90,7 @@ def test_tickers_and_cache(spark, cache):
     sources.load(spark, "ABC", start="2024-01-01", end="2024-01-05", interval="1h")
     assert calls[-1] == ("ABC", "1h")
     both = sources.load(spark, ["ABC", "NONE", "XYZ"], start="2024-01-01", end="2024-01-05", use_cache=False)
-    assert both.count() == 10 and [r.symbol for r in both.take(2)] == ["ABC", "XYZ"]
+    assert both.count() == 10 and {r.symbol for r in both.collect()} == {"ABC", "XYZ"}
     with pytest.raises(ValueError):
         sources.load(spark, ["NONE"])
     sources.cache_clear(spark, "abc")
@@ -106,6 +106,14 @@ def test_a_failed_write_keeps_the_entry(spark, cache):
     assert cache_get(spark, "A") is None
 
 
+def test_a_folder_that_cannot_be_made_is_replaced(spark, tmp_path, monkeypatch):
+    (tmp_path / "file").write_text("in the way")
+    monkeypatch.setattr(config, "cache_dir", f"{tmp_path}/file/cache")
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path / "other"))
+    cache_put(spark, "A", spark.createDataFrame([(dt.date(2024, 1, 1), 1.0)], "timestamp date, close double"), "2024-01-01", "2024-01-01")
+    assert config.cache_dir == f"{tmp_path}/other/quantloom-cache" and cache_get(spark, "A", "2024-01-01", "2024-01-01").count() == 1
+
+
 def test_no_fetcher(spark, cache):
     with pytest.raises((ImportError, ValueError)):
         sources.load(spark, "ABC", use_cache=False)
