@@ -98,31 +98,49 @@ def with_series_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
 _REACH = 40.0
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[Column | str, int]]) -> DataFrame:
+#: Greatest exponent of a weight within a block, for means that share the block of a longer one.
+_SPREAD = 600.0
+
+
+def _block(alpha: float) -> int:
+    """Rows after which the weight of a first value is below e ** -_REACH."""
+    return max(1, math.ceil(_REACH / -math.log(1 - alpha)))
+
+
+def ewm(df: DataFrame, columns: dict[str, tuple[Column | str, int]], alike: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Adds exponential means: name -> (input, span); alpha = 2 / (span + 1), each starting with its first value.
 
     A null input is skipped: the mean there is NULL and goes on with the next value. The recursion is unrolled in blocks of
     rows whose weights stay finite: within a block it is one cumulative sum, and only the end of the block before still
     counts. So a mean costs window sums over the exchange that the series needs anyway, and no row-by-row loop.
+
+    ``alike``: groups of names whose inputs are null in the same rows. They share ranks and blocks, so one sort serves a group.
     """
     names = list(columns)
     alpha = {n: 2.0 / (check_window(span, 1, "span") + 1.0) for n, (_, span) in columns.items()}
+    slow = [n for n in names if alpha[n] < 1]
+    size = {n: _block(alpha[n]) for n in slow}
+    first = {n: n for n in slow}  # whose ranks and blocks a mean uses
+    for group in alike:
+        group = [n for n in group if n in size]
+        longest = max((size[n] for n in group), default=1)
+        if all(longest * -math.log(1 - alpha[n]) <= _SPREAD for n in group):
+            first |= {n: group[0] for n in group}
+            size |= dict.fromkeys(group, longest)
     tmp = lambda kind, n: f"__{kind}_{n}"
     kept = [c for c in df.columns if c not in names]
+    leads = list(dict.fromkeys(first.values()))
     df = df.withColumns({tmp("x", n): as_column(x).cast("double") for n, (x, _) in columns.items()})
-    df = df.withColumns({tmp("r", n): F.count(tmp("x", n)).over(upto(df)) - 1 for n in names})
-    size = {n: max(1, math.ceil(_REACH / -math.log(1 - alpha[n]))) if alpha[n] < 1 else 1 for n in names}
-    slow = [n for n in names if alpha[n] < 1]
-    for n in slow:
-        block = (F.floor(F.greatest(F.col(tmp("r", n)), F.lit(0)) / size[n])).cast("long")
-        df = df.withColumns({tmp("b", n): block, tmp("p", n): F.col(tmp("r", n)) - block * size[n]})
-    local = {}
-    for n in slow:
-        q, p = 1 - alpha[n], F.col(tmp("p", n))
-        weight = F.when(F.col(tmp("r", n)) == 0, 1.0).otherwise(alpha[n])
-        over = Window.partitionBy(*keys(df), tmp("b", n)).orderBy(TIMESTAMP).rowsBetween(Window.unboundedPreceding, 0)
-        local[tmp("l", n)] = F.pow(F.lit(q), p) * F.sum(weight * F.col(tmp("x", n)) * F.pow(F.lit(q), -p)).over(over)
-    if local:
+    if leads:
+        df = df.withColumns({tmp("r", n): F.count(tmp("x", n)).over(upto(df)) - 1 for n in leads})
+        block = {n: F.floor(F.greatest(F.col(tmp("r", n)), F.lit(0)) / size[n]).cast("long") for n in leads}
+        df = df.withColumns({tmp("b", n): b for n, b in block.items()} | {tmp("p", n): F.col(tmp("r", n)) - b * size[n] for n, b in block.items()})
+        local = {}
+        for n in slow:
+            q, p = 1 - alpha[n], F.col(tmp("p", first[n]))
+            weight = F.when(F.col(tmp("r", first[n])) == 0, 1.0).otherwise(alpha[n])
+            over = Window.partitionBy(*keys(df), tmp("b", first[n])).orderBy(TIMESTAMP).rowsBetween(Window.unboundedPreceding, 0)
+            local[tmp("l", n)] = F.pow(F.lit(q), p) * F.sum(weight * F.col(tmp("x", n)) * F.pow(F.lit(q), -p)).over(over)
         df = df.withColumns(local)
     before = series(df).rowsBetween(Window.unboundedPreceding, -1)
     out = {}
@@ -131,6 +149,7 @@ def ewm(df: DataFrame, columns: dict[str, tuple[Column | str, int]]) -> DataFram
         if n not in slow:
             out[n] = x
             continue
-        end = F.last(F.when(x.isNotNull() & (F.col(tmp("p", n)) == size[n] - 1), F.col(tmp("l", n))), ignorenulls=True).over(before)
-        out[n] = F.when(x.isNotNull(), F.col(tmp("l", n)) + F.pow(F.lit(1 - alpha[n]), F.col(tmp("p", n)) + 1) * F.coalesce(end, F.lit(0.0)))
+        p = F.col(tmp("p", first[n]))
+        end = F.last(F.when(x.isNotNull() & (p == size[n] - 1), F.col(tmp("l", n))), ignorenulls=True).over(before)
+        out[n] = F.when(x.isNotNull(), F.col(tmp("l", n)) + F.pow(F.lit(1 - alpha[n]), p + 1) * F.coalesce(end, F.lit(0.0)))
     return df.withColumns(out).select(*[F.col(f"`{c}`") for c in kept], *names)

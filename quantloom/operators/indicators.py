@@ -26,7 +26,7 @@ def ema(df: DataFrame, period: int = 20, column: str = "close") -> DataFrame:
 def rsi(df: DataFrame, period: int = 14, column: str = "close") -> DataFrame:
     """Relative strength ``rsi_{period}`` from span-based means of gains and losses; 100 without losses, NULL if nothing moves."""
     step = F.col(column) - _lag(df, column)
-    out = ewm(df.withColumn("__step", step), {"__gain": (F.greatest(F.col("__step"), F.lit(0.0)) + F.col("__step") * 0, period), "__loss": (F.greatest(-F.col("__step"), F.lit(0.0)) + F.col("__step") * 0, period)})
+    out = ewm(df.withColumn("__step", step), {"__gain": (F.greatest(F.col("__step"), F.lit(0.0)) + F.col("__step") * 0, period), "__loss": (F.greatest(-F.col("__step"), F.lit(0.0)) + F.col("__step") * 0, period)}, [("__gain", "__loss")])
     g, l = F.col("__gain"), F.col("__loss")  # noqa: E741
     value = F.when((l == 0) & (g > 0), 100.0).otherwise(100 - div(100.0, 1 + div(g, l)))
     return add(out, {f"rsi_{period}": value}).drop("__step", "__gain", "__loss")
@@ -34,7 +34,7 @@ def rsi(df: DataFrame, period: int = 14, column: str = "close") -> DataFrame:
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> DataFrame:
     """``macd_line``, ``macd_signal`` and ``macd_hist``; names don't carry the parameters."""
-    out = ewm(df, {"__fast": (column, fast), "__slow": (column, slow)})
+    out = ewm(df, {"__fast": (column, fast), "__slow": (column, slow)}, [("__fast", "__slow")])
     out = ewm(add(out, {"macd_line": F.col("__fast") - F.col("__slow")}), {"macd_signal": ("macd_line", signal)})
     return add(out, {"macd_hist": F.col("macd_line") - F.col("macd_signal")}).drop("__fast", "__slow")
 
@@ -87,7 +87,7 @@ def adx(df: DataFrame, period: int = 14) -> DataFrame:
     up, down = F.col("high") - _lag(df, "high"), _lag(df, "low") - F.col("low")
     zero = F.lit(0.0)
     moves = df.withColumns({"__plus": F.when(up > down, F.greatest(up, zero)).otherwise(zero), "__minus": F.when(down > up, F.greatest(down, zero)).otherwise(zero), "__tr": _true_range(df)})
-    means = ewm(moves, {"__p": ("__plus", period), "__m": ("__minus", period), "__t": ("__tr", period)})
+    means = ewm(moves, {"__p": ("__plus", period), "__m": ("__minus", period), "__t": ("__tr", period)}, [("__p", "__m")])  # neither move is ever null
     both = add(means, {"plus_di": div(F.col("__p"), F.col("__t")) * 100, "minus_di": div(F.col("__m"), F.col("__t")) * 100})
     dx = div(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")) * 100
     return ewm(both.withColumn("__dx", dx), {f"adx_{period}": ("__dx", period)}).drop("__plus", "__minus", "__tr", "__p", "__m", "__t", "__dx")

@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import SYMBOL, TIMESTAMP, TRADING_DAYS, change, check_window, div, require
+from ..functions.windows import SYMBOL, TIMESTAMP, TRADING_DAYS, add, change, check_window, div, require, series, trailing
+from ..plans.chunked import by_chunks
 
 
 def symbols_of(df: DataFrame) -> list[str]:
@@ -33,9 +34,12 @@ def _complete(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def _pairs(rets: DataFrame, value: str = "ret") -> DataFrame:
-    """Moments of each pair of symbols, from one self-join on the timestamp."""
+    """Moments of each pair of symbols, from one self-join on the timestamp that makes each pair once."""
     a, b = rets.select(TIMESTAMP, F.col(SYMBOL).alias("sym_a"), F.col(value).alias("x")), rets.select(TIMESTAMP, F.col(SYMBOL).alias("sym_b"), F.col(value).alias("y"))
-    return a.join(b, TIMESTAMP).groupBy("sym_a", "sym_b").agg(F.covar_samp("x", "y").alias("cov"), F.var_samp("x").alias("var_x"), F.var_samp("y").alias("var_y"))
+    half = a.join(b, TIMESTAMP).filter("sym_a <= sym_b").groupBy("sym_a", "sym_b").agg(F.covar_samp("x", "y").alias("cov"), F.var_samp("x").alias("var_x"), F.var_samp("y").alias("var_y"))
+    both = F.struct("sym_a", "sym_b", "cov", "var_x", "var_y")
+    turned = F.struct(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"), "cov", F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"))
+    return half.select(F.explode(F.when(F.col("sym_a") == F.col("sym_b"), F.array(both)).otherwise(F.array(both, turned))).alias("p")).select("p.*")
 
 
 def _matrix(pairs: DataFrame, value: str, symbols: list[str]) -> DataFrame:
@@ -84,11 +88,16 @@ def rolling_correlation(df: DataFrame, symbol_a: str, symbol_b: str, window: int
         raise ValueError(f"no such symbols: {sorted(missing)}")
     pair = F.col("x").isNotNull() & F.col("y").isNotNull()
     both = both.withColumns({"x": F.when(pair, F.col("x")), "y": F.when(pair, F.col("y"))})
-    order = Window.partitionBy(F.lit(0)).orderBy(TIMESTAMP)
-    w = order.rowsBetween(-(window - 1), 0)
-    corr = div(F.covar_samp("x", "y").over(w), F.sqrt(F.var_samp("x").over(w) * F.var_samp("y").over(w)))
-    ready = (F.row_number().over(order) >= window) & (F.count("x").over(w) >= 2)
-    return both.select(TIMESTAMP, F.when(ready, corr).alias(f"rolling_corr_{a}_{b}_{window}"))
+    name = f"rolling_corr_{a}_{b}_{window}"
+
+    def correlated(part: DataFrame) -> DataFrame:
+        w = trailing(part, window)
+        corr = div(F.covar_samp("x", "y").over(w), F.sqrt(F.var_samp("x").over(w) * F.var_samp("y").over(w)))
+        ready = (F.row_number().over(series(part)) >= window) & (F.count("x").over(w) >= 2)
+        return add(part, {name: F.when(ready, corr)})
+
+    # The pair is one series of all timestamps: chunks of it run side by side.
+    return by_chunks(both.filter(F.col(TIMESTAMP).isNotNull()), correlated, window - 1).select(TIMESTAMP, name)
 
 
 def portfolio_returns(df: DataFrame, weights: dict[str, float], column: str = "close") -> DataFrame:

@@ -66,11 +66,16 @@ def calmar_ratio(df: DataFrame, column: str = "close") -> DataFrame:
     return _per_symbol(out, calmar=value)
 
 
-def _var(confidence: float, method: str, over=None) -> Column:
+def _quantile(share: float, accuracy: int | None) -> Column:
+    """Of the returns: exact, which gathers the distinct values of a series, or by a sketch of bounded size."""
+    return F.percentile("__ret", F.lit(share)) if accuracy is None else F.percentile_approx("__ret", F.lit(share), accuracy)
+
+
+def _var(confidence: float, method: str, over=None, accuracy: int | None = None) -> Column:
     at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
     a = 1 - confidence
     if method == "historical":
-        return at(F.percentile("__ret", F.lit(a)))
+        return at(_quantile(a, accuracy))
     mean, dev, z = at(F.avg("__ret")), at(F.stddev_pop("__ret")), norm_ppf(a)
     if method == "parametric":
         return mean + dev * z
@@ -79,22 +84,25 @@ def _var(confidence: float, method: str, over=None) -> Column:
     return mean + dev * (z + (z * z - 1) / 6 * s + (z**3 - 3 * z) / 24 * k - (2 * z**3 - 5 * z) / 36 * s * s)
 
 
-def value_at_risk(df: DataFrame, confidence: float = 0.95, method: str = "historical", window: int | None = None, column: str = "close") -> DataFrame:
-    """The return that is undercut with probability 1 - confidence. Per symbol: 0 with fewer than two returns. Rolling: ``var_{window}``."""
+def value_at_risk(df: DataFrame, confidence: float = 0.95, method: str = "historical", window: int | None = None, column: str = "close", accuracy: int | None = None) -> DataFrame:
+    """The return that is undercut with probability 1 - confidence. Per symbol: 0 with fewer than two returns. Rolling: ``var_{window}``.
+
+    ``accuracy``: for series too long to gather their values, the quantile's rank may be off by a share of 1 / accuracy.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     out = _with_returns(df, column)
     if window is None:
-        return _per_symbol(out, var=F.when(F.count("__ret") < 2, 0.0).otherwise(_var(confidence, method)))
+        return _per_symbol(out, var=F.when(F.count("__ret") < 2, 0.0).otherwise(_var(confidence, method, accuracy=accuracy)))
     value = _var(confidence, method, trailing(out, check_window(window)))
     return add(out, {f"var_{window}": F.when(_enough(out, window, 4), value)}).drop("__ret")
 
 
-def cvar(df: DataFrame, confidence: float = 0.95, window: int | None = None, column: str = "close") -> DataFrame:
-    """Mean of the returns at or below the historical value at risk. Rolling: ``cvar_{window}``."""
+def cvar(df: DataFrame, confidence: float = 0.95, window: int | None = None, column: str = "close", accuracy: int | None = None) -> DataFrame:
+    """Mean of the returns at or below the historical value at risk. Rolling: ``cvar_{window}``. ``accuracy``: as for ``value_at_risk``."""
     out = _with_returns(df, column)
     if window is None:
-        level = out.groupBy(*keys(df)).agg(F.percentile("__ret", F.lit(1 - confidence)).alias("__q"))
+        level = out.groupBy(*keys(df)).agg(_quantile(1 - confidence, accuracy).alias("__q"))
         joined = out.join(level, keys(df)) if keys(df) else out.crossJoin(level)  # one row
         return _per_symbol(joined, cvar=F.when(F.count("__ret") < 2, 0.0).otherwise(F.coalesce(F.avg(F.when(F.col("__ret") <= F.col("__q"), F.col("__ret"))), F.lit(0.0))))
     w = trailing(out, check_window(window))

@@ -145,3 +145,30 @@ def test_single_symbol_is_a_slice(bars):
     one = features.add_all(bars.filter("symbol = 'BBB'")).orderBy("timestamp").toPandas()
     both = features.add_all(bars).filter("symbol = 'BBB'").orderBy("timestamp").toPandas()
     pd.testing.assert_frame_equal(one, both)
+
+
+def test_means_of_a_call_share_sorts(spark):
+    """Sorts of plans from unsorted bars; each mean of its own blocks would add one and another one back."""
+    from quantloom import queries as q
+    from quantloom.operators import indicators as i
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        b = q.bars_orders(spark, "/root/testdata/sf0.001")
+        sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+        assert sorts(i.ema(b)) == 3 and sorts(i.rsi(b)) == 3 and sorts(i.macd(b)) <= 5 and sorts(i.adx(b)) <= 7
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@pytest.mark.parametrize("spans", [(12, 26), (2, 300), (5, 5)])
+def test_shared_blocks_change_no_mean(spark, bars, spans):
+    """Two means of one input, with and without shared ranks and blocks, also where the spans are too far apart to share."""
+    from quantloom.functions.windows import ewm
+
+    given = bars.withColumn("close", F.when(F.col("timestamp") < "2024-01-06", None).otherwise(F.col("close")))
+    rows = lambda alike: ewm(given, {"a": ("close", spans[0]), "b": ("close", spans[1])}, alike).orderBy("symbol", "timestamp").select("a", "b").collect()
+    for x, y in zip(rows([("a", "b")]), rows([])):
+        for u, v in zip(x, y):
+            assert u == v or abs(u - v) < 1e-9 * abs(v)
