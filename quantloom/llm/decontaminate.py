@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices, text_rows
+from .common import kept, lean, slices, text_rows
 from .row_lists import FILE, ROW, numbered, save, stored, without
 
 RATE = 0.2
@@ -196,6 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             finder = _finder(shared, rate)
             for batch in batches:
                 for ids, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -216,6 +217,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_c
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             finder = _finder(shared, rate)
             for batch in batches:
                 for at, texts in slices(list(range(batch.num_rows)), batch.column(0).to_pylist()):

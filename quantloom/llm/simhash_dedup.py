@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, done_with, map_texts, text_rows
+from .common import compact, done_with, lean, map_texts, release, text_rows
 from .row_lists import FILE, ROW, numbered, save, stored, without
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -154,6 +154,8 @@ def links(fps: DataFrame, bits: int = BITS, many: int = MANY, block: int = BLOCK
     cs = around.join(sized, "anchor").select("anchor", "fp", deal(F.col("cb")).alias("j"), every(F.col("hb")).alias("i"), F.lit(False).alias("home"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
+        release()
         fp, home = pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool)
         a, b = _forest(fp[home], fp[~home], bits)
         return pd.DataFrame({"a": a, "b": b})

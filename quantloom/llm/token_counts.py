@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, open_folder, text_rows
+from .common import gathered, lean, open_folder, text_rows
 from .piece_encoder import loaded
 
 #: Bytes of a block, a multiple of every width.
@@ -42,6 +42,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, wid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         task = TaskContext.get()
         encoder, name, at = loaded(tokenizer, plain=True), f"{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
         system, top = open_folder(path)

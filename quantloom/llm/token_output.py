@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import compact, gathered, small_batches, text_rows
+from .common import compact, gathered, lean, small_batches, text_rows
 from .piece_encoder import loaded
 
 #: Columns of the file format. ``part`` is the range that the file belongs to, ``at`` the ids of earlier documents in it.
@@ -53,6 +53,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         encoder, part, at = loaded(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for ids, texts in gathered(batches, SLICE_BYTES):
