@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -160,20 +159,6 @@ def release() -> None:
         trim()
 
 
-@functools.cache
-def lean() -> None:
-    """Once per Python worker: large buffers, Arrow's too, are mapped one by one, so that they go back to the system when they are freed and don't stay as holes of a heap that outlives tasks."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-        libc = ctypes.CDLL(None)
-        libc.mallopt(_MMAP_THRESHOLD, 256 << 10)
-        libc.mallopt(_ARENA_MAX, 1)
-
-
-#: What ``mallopt`` calls these two settings.
-_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
-
-
 def trim() -> None:
     """Gives free memory back to the system, as workers outlive tasks."""
     pa.default_memory_pool().release_unused()
@@ -192,7 +177,6 @@ def map_texts(rows: DataFrame, fn: Callable[[list, list[bytes]], Iterable | dict
     full = schema + "".join(f", {c} long" for c in also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         state = (setup(),) if setup else ()
         if not setup:
             release()
