@@ -86,15 +86,8 @@ query("bars_orders", sql(keyed("open", "high", "low", "close", "volume")))(lambd
 query("bars_events", sql(keyed("open", "high", "low", "close", "volume"), bars=HOURS), bars_events)(lambda b: b.select("symbol", "timestamp", "open", "high", "low", "close", "volume"))
 
 
-def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, f"{sf_dir}/orders.parquet").filter(F.col("o_totalprice") > 200000).select("o_orderkey", "o_totalprice")
-
-
-QUERIES["load_parquet"] = _load
-ORACLES["load_parquet"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000"
-# The whole file, every row and column.
-QUERIES["load_parquet_all"] = lambda spark, sf_dir: load(spark, f"{sf_dir}/orders.parquet")
-ORACLES["load_parquet_all"] = "SELECT * FROM orders"
+QUERIES["load_parquet"] = lambda spark, sf_dir: load(spark, f"{sf_dir}/orders.parquet")
+ORACLES["load_parquet"] = "SELECT * FROM orders"
 
 QUERIES["event_bars"] = lambda spark, sf_dir: event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 ORACLES["event_bars"] = f"SELECT symbol, timestamp, open, high, low, close, volume FROM ({HOURS}) q"
@@ -383,23 +376,22 @@ def _weighted(b: DataFrame) -> DataFrame:
     return pick(portfolio.portfolio_returns(b, {one: 3.0, two: 1.0}), keys=("timestamp",), portfolio_returns=6)
 
 
-@query("minimum_variance_weights", sql(
-    "unnest([sa, sb]) AS symbol, unnest([round((vb - cv) / (va + vb - 2 * cv), 6) + 0.0, round((va - cv) / (va + vb - 2 * cv), 6) + 0.0]) AS weight",
-    _PAIR, "v AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cv FROM o WHERE a IS NOT NULL AND b IS NOT NULL)",
-    "n AS (SELECT min(symbol) AS sa, (SELECT min(symbol) FROM bars WHERE symbol > (SELECT min(symbol) FROM bars)) AS sb FROM bars)", bars=DAYS, source="v, n"), daily_events)
-def _min_variance(b: DataFrame) -> DataFrame:
-    return _weights(b.filter(F.col("symbol").isin(_symbols(b))))
+#: Gauss-Jordan elimination of the covariance matrix with a column of ones beside it, one row at a time; a covariance matrix needs no pivoting.
+_SOLVED = [
+    "v AS (SELECT a.symbol AS sa, b.symbol AS sb, covar_samp(a.ret, b.ret) AS v FROM c a JOIN c b USING (timestamp) GROUP BY 1, 2)",
+    "l AS (SELECT sa, list_append(list(v ORDER BY sb), 1.0) AS line FROM v GROUP BY sa)",
+    "g AS (SELECT CAST(1 AS BIGINT) AS k, list(line ORDER BY sa) AS m, list(sa ORDER BY sa) AS names, count(*) AS n FROM l UNION ALL"
+    " SELECT k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda y: y / m[k][k]) ELSE list_transform(range(1, n + 2), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END), names, n FROM g WHERE k <= n)",
+    "w AS (SELECT names, list_transform(m, lambda y: y[n + 1]) AS raw FROM g WHERE k = n + 1)",
+]
 
 
+@query("minimum_variance_weights", sql("unnest(names) AS symbol, unnest(list_transform(raw, lambda y: round(y / list_sum(raw), 6) + 0.0)) AS weight", _FULL, *_SOLVED, bars=DAYS, source="w", recursive=True), daily_events)
 def _weights(b: DataFrame) -> DataFrame:
     found = portfolio.minimum_variance_weights(b)
     return b.sparkSession.createDataFrame([(s, round(w, 6)) for s, w in found.items()], "symbol string, weight double")
 
 
-# All symbols; the SQL above is the closed form for two, so NumPy is the oracle here (tests/test_risk.py).
-query("minimum_variance_weights_all", None, daily_events)(_weights)
-
-
 # --- quality and profile ----------------------------------------------------------------------------------------------------------
 
 query("detect_gaps", sql(

@@ -165,6 +165,6 @@ def test_minimum_variance_of_all_symbols(spark):
     closes = q.daily_events(spark, sf).select("symbol", "timestamp", "close").toPandas().pivot(index="timestamp", columns="symbol", values="close").astype(float)
     rets = pd.concat([closes[s].dropna().pct_change() for s in closes.columns], axis=1).dropna()
     raw = np.linalg.pinv(np.cov(rets.to_numpy().T)) @ np.ones(rets.shape[1])
-    got = {r.symbol: r.weight for r in q.QUERIES["minimum_variance_weights_all"](spark, sf).collect()}
+    got = {r.symbol: r.weight for r in q.QUERIES["minimum_variance_weights"](spark, sf).collect()}
     assert len(got) == len(closes.columns) > 2 and sum(got.values()) == pytest.approx(1, abs=1e-5)
     assert [got[s] for s in closes.columns] == pytest.approx((raw / raw.sum()).tolist(), abs=2e-6)

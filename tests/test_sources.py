@@ -130,6 +130,6 @@ def test_load_query_gives_the_whole_file(spark):
 
     sf = "/root/testdata/sf0.001"
     want = spark.read.parquet(f"{sf}/orders.parquet")
-    got = q.QUERIES["load_parquet_all"](spark, sf)
+    got = q.QUERIES["load_parquet"](spark, sf)
     assert got.columns == want.columns and got.count() == want.count()
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
