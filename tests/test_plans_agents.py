@@ -133,3 +133,22 @@ def test_streamed_bars(spark, tmp_path):
     assert stored[("a", 0)] == (1.0, 3.0, 1.0, 3.0, 2.0) and stored[("b", 0)][4] == 1.0 and ("a", 12) not in stored
     made = spark.read.parquet(f"file://{tmp_path}/bars-features")
     assert made.count() == len(stored) and "rsi_14" in made.columns
+
+
+def test_streamed_features_read_a_bounded_history(spark, tmp_path):
+    """One bar a day; with a look-back of two days a batch sees three bars at most, without one it sees all that are stored."""
+    schema = "event_type string, ts timestamp, value double"
+    for i in range(6):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, 1 + i, 12), float(i))], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        for f in (tmp_path / "in" / str(i)).glob("part-*"):
+            os.utime(f, (1_700_000_000 + 100 * i,) * 2)
+    seen = {}
+    for days in (2, None):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+        at = f"file://{tmp_path}/{days}"
+        count = lambda d: d.join(d.groupBy("symbol").count(), "symbol")
+        feature_batches(event_bars(stream), f"{at}/bars", f"{at}/cp", count, history_days=days).trigger(availableNow=True).start().awaitTermination()
+        seen[days] = [r["count"] for r in spark.read.parquet(f"{at}/bars-features").orderBy("timestamp").collect()]
+    assert seen[2] == [min(k, 3) for k in range(1, len(seen[2]) + 1)] and seen[None] == list(range(1, len(seen[2]) + 1)) and len(seen[2]) >= 4
+    with pytest.raises(ValueError):
+        feature_batches(event_bars(stream), "x", "y", count, history_days=-1)
