@@ -10,7 +10,7 @@ import numpy as np
 from .common import kept
 
 #: Entries of a generation of a worker's memo of parts, and the bytes that a remembered part may have.
-MEMO, MEMO_CHARS = 600_000, 32
+MEMO, MEMO_CHARS = 800_000, 32
 #: Parts that the library gets in one string.
 PARTS = 100
 
