@@ -139,12 +139,13 @@ def links(fps: DataFrame, bits: int = BITS, many: int = MANY, block: int = BLOCK
     """
     if bits != 3:
         raise ValueError("the anchors are chosen for three bits")
-    # A fingerprint is a few bytes but becomes 17 rows a side: few file splits would mean few tasks.
+    # A fingerprint is a few bytes but becomes 17 rows a side: few file splits would mean few tasks. Spark's estimate of a side
+    # leaves those rows out, so without a hint it would broadcast all of them as a small table, through the driver.
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     near, around = homes(fps), covers(fps)
     counted = near.groupBy("anchor").agg(F.count("*").alias("n_homes")).filter(F.col("n_homes") > many)
-    heavy = compact(around.join(counted, "anchor").groupBy("anchor").agg(F.count("*").alias("n_around"), F.first("n_homes").alias("n_homes")), "heavy-anchors")
-    light = near.join(heavy, "anchor", "left_anti").alias("h").join(around.alias("c"), "anchor")
+    heavy = compact(around.hint("merge").join(counted, "anchor").groupBy("anchor").agg(F.count("*").alias("n_around"), F.first("n_homes").alias("n_homes")), "heavy-anchors")
+    light = near.join(heavy, "anchor", "left_anti").alias("h").join(around.alias("c").hint("merge"), "anchor")
     light = light.filter((F.col("h.fp") < F.col("c.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("c.fp"))) <= bits)).select(F.col("h.fp").alias("a"), F.col("c.fp").alias("b"))
 
     sized = heavy.select("anchor", F.ceil(F.col("n_homes") / block).alias("hb"), F.ceil(F.col("n_around") / block).alias("cb"))
