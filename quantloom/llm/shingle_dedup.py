@@ -1,13 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of shingles, of which none is missed but by a chance of 1e-8.
+"""Near-duplicates by SimHash and the Jaccard similarity of shingles, of which none is missed but by a chance of 1e-8.
 
-A text is the set of its shingles' hashes (64 bits); equal sets are one node. Signatures of minima, cut into bands, give
-candidates: nodes that share a band are in one cluster, which costs one row per band and no row per pair. In a cluster
-pairs are compared exactly, by the sizes of the sets' intersections; large clusters are compared in blocks of bounded size,
+A text is the set of its shingles' hashes (64 bits); equal sets are one node. Candidates come in two ways, and nodes that
+either brings together are in one cluster. First the fingerprints of ``simhash_dedup``: its covering anchors give all links at
+three bits or fewer. Then signatures of minima, cut into bands, for the pairs that fingerprints can't reach: nodes share a
+band, which costs one row per band and no row per pair. Whatever brought them together, in a cluster pairs are compared exactly, by the sizes of the sets' intersections; large clusters are compared in blocks of bounded size,
 each of which gives a spanning forest of its links, and pairs that links join already are left out. A pair just at similarity 0.8 shares none of the 60 bands of six minima
 with a chance of (1 - 0.8^6)^60 = 1.2e-8; what the bands bring together without need is only compared.
 
-This is the near-duplicate step for a similarity of 0.8, which the covering anchors of ``simhash_dedup`` can't reach: there
-such pairs differ in about ten of 64 bits. Rows stay and go, and hot keys are joined, as in that module; no text is shuffled.
+This is the near-duplicate step for a similarity of 0.8. The covering anchors alone can't reach all of it, as most such pairs
+differ in more than three of 64 bits; no link depends on them alone, and none of theirs skips the exact comparison. Rows stay and go, and hot keys are joined, as in that module; no text is shuffled.
 
 Defined results: a text of fewer words than a shingle is one shingle; null, empty and blank texts have no shingle and are
 copies of each other; texts of any length count whole; an empty table gives an empty result; rows are chosen as in
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import compact, discard, done_with, map_texts, release, slices, text_rows, trim
 from .row_lists import FILE, ROW, holds, numbered, save, stored
-from .simhash_dedup import SEED, components, mark, signed, spanning, survivors, uneven_join
+from .simhash_dedup import SEED, components, fingerprint, mark, signed, spanning, survivors, uneven_join
+from .simhash_dedup import links as fingerprint_links
 
 SHINGLE, LEAST = 5, 0.8
 #: Bands of a signature and minima of a band.
@@ -161,9 +163,19 @@ def links(sets: DataFrame, clusters: DataFrame, least: float = LEAST, block: int
     return out
 
 
-def clusters_of(keyed: DataFrame) -> DataFrame:
-    """node and root for nodes that share a band with others, from rows of node and keys."""
-    each = keyed.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+def alike(prints: DataFrame) -> DataFrame:
+    """node and key, from rows of node and fp: nodes whose fingerprints are linked at three bits or fewer, by any chain, have a key in common."""
+    pairs = compact(prints.select("node", "fp").distinct(), "fingerprints-of-nodes")
+    sizes = compact(pairs.groupBy("fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
+    found = compact(sizes.join(components(fingerprint_links(sizes.select("fp"))).withColumnRenamed("node", "fp"), "fp"), "linked-fingerprints")
+    out = compact(uneven_join(pairs, found, "fp", pairs.count(), "left").select("node", F.coalesce("root", "fp").alias("key")).distinct(), "fingerprint-keys")
+    done_with(pairs, sizes, found)
+    return out
+
+
+def clusters_of(keyed: DataFrame, also: DataFrame) -> DataFrame:
+    """node and root for nodes that share a band or a key of ``also`` (node, key) with others, from rows of node and keys."""
+    each = keyed.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")).unionByName(also)
     shared = compact(each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "low", "n"), "shared-bands")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return components(uneven_join(each, shared, "key", total).select("node", "low"), "node", "low")
@@ -194,11 +206,13 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = [shingles(t, size) for t in texts]
         keyed = [bands(x) for x in found]
         ends = np.cumsum([0, *map(len, keyed)]).astype(np.int32)
-        return {"doc_id": ids, "mark": list(map(mark, texts)), "node": list(map(node, found)), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keyed)))}
+        prints = [fingerprint(t.lower().split()) for t in texts]
+        return {"doc_id": ids, "mark": list(map(mark, texts)), "node": list(map(node, found)), "fp": prints, "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keyed)))}
 
     table = numbered(stored(df))
-    prints = compact(map_texts(text_rows(table, id_col, text_col, (FILE, ROW)), keys, "doc_id long, mark long, node long, keys array<long>"), "signatures")
-    clusters = compact(clusters_of(prints.select("node", "keys")), "clusters")
+    prints = compact(map_texts(text_rows(table, id_col, text_col, (FILE, ROW)), keys, "doc_id long, mark long, node long, fp long, keys array<long>"), "signatures")
+    near = alike(prints)
+    clusters = compact(clusters_of(prints.select("node", "keys"), near), "clusters")
     # Sets are made again from the texts, one of each node, and only for nodes in clusters.
     firsts = prints.select("node", FILE, ROW).join(clusters, "node", "left_semi").groupBy("node").agg(F.min(F.struct(FILE, ROW)).alias("at"))
     chosen = save(firsts.select("at.*"))
@@ -206,5 +220,5 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = links(sets, clusters, least)
     out = survivors(table, prints, components(linked))
     discard(chosen)
-    done_with(prints, clusters, sets, linked)
+    done_with(prints, near, clusters, sets, linked)
     return out

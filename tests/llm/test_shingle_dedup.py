@@ -7,7 +7,7 @@ import corpus_pipeline as cp
 from quantloom.llm import shingle_dedup as sh
 
 from .conftest import SF
-from .test_dedup import brute_components
+from .test_dedup import brute_components, brute_fp
 
 
 def brute(text):
@@ -48,6 +48,25 @@ def test_stage_drops_copies_with_a_few_edits(spark):
     assert kept == sorted(want_of(rows)) and 5001 not in kept and 5003 in kept and 61 < len(kept) < 130
 
 
+def test_fingerprints_bring_candidates(spark, monkeypatch):
+    """Without any band the stage finds what covering anchors link, if the exact comparison holds; and nothing else."""
+    monkeypatch.setattr(sh, "bands", lambda found: np.zeros(0, np.int64))
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, edited(rng, words, 1)), (10 * k + 2, edited(rng, words, 120))]
+    rows += [(500, "one two three one two three one two three"), (501, "one two three one two three one two three one two three")]
+    rows += [(600, "a " * 100 + "one end of it that no other text has"), (601, "a " * 100 + "and a second tail of many other words"), (602, "")]
+    sets, fps = ({i: of(t) for i, t in rows} for of in (brute, brute_fp))
+    close = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3
+    alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = brute_components(sorted(sets), lambda a, b: close(a, b) and alike(a, b))
+    assert want_of(rows) < set(want.values()) < set(sets) and any(close(a, b) and not alike(a, b) for a in sets for b in sets)
+    kept = sorted(r.doc_id for r in sh.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(set(want.values()))
+
+
 def test_hard_rows(docs, empty):
     kept = sh.drop_similar(docs)
     ids = [r.doc_id for r in kept.collect()]
